@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from .decontaminate import op10_decontamination
 from .lm_score import op8_lm_score
+from .media import op2_media
 from .packing import op1_packing
 from .quality import op3_quality
+from .url_filter import OP9_SQL, op9_url_filter
+from .warc import op5_warc
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_media": op2_media,
     "op3_quality": op3_quality,
+    "op5_warc": op5_warc,
     "op8_lm_score": op8_lm_score,
+    "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_url_filter": OP9_SQL}
