@@ -1,15 +1,66 @@
-"""The corpus pipeline: reject low quality, drop near-duplicates, cut benchmark passages, pack."""
+"""The corpus pipeline: reject low quality, drop near-duplicates, cut benchmark
+passages, pack.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
+and returns the columns of ``documents``; the last returns the packed pieces.  A
+stage's result is written and read again before the next, so that a lost
+executor costs no more than a part of one stage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from siltstone.llm import decontaminate, minhash, packing, quality
+from siltstone.llm.common import Scratch, table
+
+#: Documents of a lower score are rejected.
+LEAST_QUALITY = 0.3
+#: Documents with more of their words in benchmark passages are dropped; of others the passages are cut.
+MOST_COVERED = 0.05
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose quality score is at least LEAST_QUALITY."""
+    weights = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, weights, score_col="qc_score")
+    return scored.where(F.col("qc_score") >= LEAST_QUALITY).select(*docs.columns)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least id of each group that is tied by a similarity of 0.8 or more over five-word shingles."""
+    return minhash.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts spans of ten words or more that a benchmark item holds, and drops documents with many of them."""
+    return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"), window=10, least_words=10, max_coverage=MOST_COVERED)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows of 1024 ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", classify),
+    ("near-duplicates", deduplicate),
+    ("decontamination", decontaminated),
+    ("packing", pack),
+]
+#: SQL can express neither the classifier nor the packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.save(docs, name)
     return docs

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontamination
+from .license_scan import OP6_SQL, op6_license_scan
 from .lm_score import op8_lm_score
 from .media import op2_media
+from .minhash import op4_minhash
 from .packing import op1_packing
 from .quality import op3_quality
+from .token_counts import op7_token_counts
 from .url_filter import OP9_SQL, op9_url_filter
 from .warc import op5_warc
 
@@ -14,9 +17,12 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_media": op2_media,
     "op3_quality": op3_quality,
+    "op4_minhash": op4_minhash,
     "op5_warc": op5_warc,
+    "op6_license_scan": op6_license_scan,
+    "op7_token_counts": op7_token_counts,
     "op8_lm_score": op8_lm_score,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_license_scan": OP6_SQL, "op9_url_filter": OP9_SQL}
