@@ -6,8 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.functions import scalars
+from siltstone.operators import aggregates, ctes, joins, scans, setops, windows
+
+FAMILIES = [f.family for f in (scans, joins, aggregates, windows, setops, ctes, scalars)]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _f in FAMILIES:
+    QUERIES |= _f.queries()
+    ORACLES |= _f.oracles
 
 #: The query that the smoke check runs.
 FLAGSHIP = "cte_chain"
