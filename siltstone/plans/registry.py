@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.functions import scalars
 from siltstone.operators import aggregates, ctes, joins, scans, setops, windows
+from siltstone.plans import lineage_queries
 
-FAMILIES = [f.family for f in (scans, joins, aggregates, windows, setops, ctes, scalars)]
+FAMILIES = [f.family for f in (scans, joins, aggregates, windows, setops, ctes, scalars, lineage_queries)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .session import ship
+
 
 class Tables:
     """``tables("orders")`` is the scan of ``orders.parquet``; filters and columns reach the files."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        ship(spark)
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __call__(self, name: str) -> DataFrame:
