@@ -30,7 +30,7 @@ read, whatever their names.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +39,7 @@ import pyspark.sql.functions as F
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import LOWER, Scratch, encoded, table
+from .common import LOWER, Scratch, encoded, small, table
 
 #: The end of a text, which no word can equal.
 END = b""
@@ -80,58 +80,109 @@ def load_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
 
 
 class Lattice:
-    """All segmentations of a marked word into pieces, at their log-probabilities."""
+    """All segmentations of a marked word into pieces, at their log-probabilities.
 
-    def __init__(self, names: list[bytes], logp: np.ndarray):
-        self.at = {n: (k, float(logp[k])) for k, n in enumerate(names[:-1])}
-        self.longest = max(map(len, self.at))
-        self.end = float(logp[-1])
+    A character that is no piece is spelled by its byte pieces.
+    """
 
-    def edges(self, word: bytes) -> list[list[tuple[int, int, float]]]:
-        """For each end position the (start, piece, log-probability) of pieces that end there."""
-        text, get = _MARK + word, self.at.get
-        n = len(text)
-        out: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
-        for a in range(n):
-            for b in range(a + 1, min(n, a + self.longest) + 1):
-                hit = get(text[a:b])
-                if hit is not None:
-                    out[b].append((a, *hit))
-        return out
+    _NOT_A_PREFIX, _PREFIX_ONLY = 1.0, 2.0  # beside log-probabilities, which are never positive
 
-    def forward(self, edges: list[list[tuple[int, int, float]]]) -> list[float]:
-        exp, log = math.exp, math.log
-        alpha = [0.0]
-        for into in edges[1:]:
-            if len(into) == 1:
-                a, _, p = into[0]
-                alpha.append(alpha[a] + p)
-            else:
-                terms = [alpha[a] + p for a, _, p in into]
-                top = max(terms)
-                alpha.append(top + log(sum([exp(t - top) for t in terms])))
-        return alpha
+    def __init__(self, names: list[bytes], logp: np.ndarray):
+        self.end, self.size = float(logp[-1]), len(names)
+        self.bytes = {n[0]: (k, float(logp[k])) for k, n in enumerate(names[:-1]) if len(n) == 1}
+        self.number: dict[str, int] = {}
+        self.reach: dict[str, float] = {}
+        for k, n in enumerate(names[:-1]):
+            try:
+                piece = n.decode()
+            except UnicodeDecodeError:
+                continue  # a byte piece
+            self.number[piece] = k
+            self.reach[piece] = float(logp[k])
+            for size in range(1, len(piece)):
+                self.reach.setdefault(piece[:size], self._PREFIX_ONLY)
+
+    def _spelled(self, char: str) -> float:
+        return sum(self.bytes[b][1] for b in char.encode())
 
     def log_marginal(self, word: bytes) -> float:
         """Natural log of the word's probability over all segmentations."""
-        return self.end if word == END else self.forward(self.edges(word))[-1]
-
-    def expect(self, word: bytes, times: float, into: np.ndarray) -> None:
-        """Adds ``times`` the expected number of each piece in a segmentation of ``word``."""
         if word == END:
-            into[-1] += times
-            return
-        edges = self.edges(word)
-        alpha = self.forward(edges)
-        n, exp = len(edges) - 1, math.exp
-        share = [0.0] * (n + 1)  # of all segmentations, those with a cut at each position
-        share[n] = times
+            return self.end
+        text, get, exp, log = "▁" + word.decode(), self.reach.get, math.exp, math.log
+        n = len(text)
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        into[0].append(0.0)
+        for a in range(n):
+            terms = into[a]
+            if len(terms) == 1:
+                base = terms[0]
+            else:
+                top = max(terms)
+                base = top + log(sum([exp(t - top) for t in terms]))
+            if get(text[a], 1.0) > 0:
+                into[a + 1].append(base + self._spelled(text[a]))
+            for b in range(a + 1, n + 1):
+                p = get(text[a:b], 1.0)
+                if p <= 0:
+                    into[b].append(base + p)
+                elif p == 1.0:
+                    break
+        top = max(into[n])
+        return top + log(sum([exp(t - top) for t in into[n]]))
+
+    def expect(self, word: bytes, times: float, into: dict[str, float]) -> None:
+        """Adds ``times`` the expected number of each piece (or spelled character) in a segmentation of ``word``."""
+        text, get, exp, log = "▁" + word.decode(), self.reach.get, math.exp, math.log
+        n = len(text)
+        edges: list[list[tuple[float, int, str]]] = [[] for _ in range(n + 1)]
+        alpha = [0.0] * (n + 1)
+        for a in range(n + 1):
+            if a:
+                terms = edges[a]
+                if len(terms) == 1:
+                    alpha[a] = terms[0][0]
+                else:
+                    top = max(terms)[0]
+                    alpha[a] = top + log(sum([exp(t[0] - top) for t in terms]))
+                if a == n:
+                    break
+            base = alpha[a]
+            if get(text[a], 1.0) > 0:
+                edges[a + 1].append((base + self._spelled(text[a]), a, text[a]))
+            for b in range(a + 1, n + 1):
+                piece = text[a:b]
+                p = get(piece, 1.0)
+                if p <= 0:
+                    edges[b].append((base + p, a, piece))
+                elif p == 1.0:
+                    break
+        share = [0.0] * n  # of all segmentations, those with a cut at each position
+        share.append(times)
         for b in range(n, 0, -1):
-            if share[b]:
-                for a, k, p in edges[b]:
-                    part = share[b] * exp(alpha[a] + p - alpha[b])
-                    into[k] += part
-                    share[a] += part
+            own = share[b]
+            if own:
+                terms = edges[b]
+                if len(terms) == 1:
+                    _, a, piece = terms[0]
+                    share[a] += own
+                    into[piece] += own
+                else:
+                    whole = alpha[b]
+                    for t, a, piece in terms:
+                        part = own * exp(t - whole)
+                        share[a] += part
+                        into[piece] += part
+
+    def numbered(self, sums: dict[str, float], ends: float) -> np.ndarray:
+        """Such sums, and the number of ends, by the vocabulary's order."""
+        out = np.zeros(self.size)
+        for piece, n in sums.items():
+            k = self.number.get(piece)
+            for at in [k] if k is not None else [self.bytes[x][0] for x in piece.encode()]:
+                out[at] += n
+        out[-1] = ends
+        return out
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -139,7 +190,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, rest = Counter(), set()
-        for batch in batches:
+        for batch in small(batches):
             for text, train in zip(encoded(batch.column(0)), batch.column(1).to_pylist()):
                 if train:
                     own.update(tokens(text))
@@ -162,10 +213,14 @@ def adapted(words: DataFrame, names: list[bytes], prior: np.ndarray, strength: f
     told = words.sparkSession.sparkContext.broadcast((names, prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, sums = Lattice(*told.value), np.zeros(len(told.value[0]))
-        for batch in batches:
+        lattice, found, ends = Lattice(*told.value), defaultdict(float), 0
+        for batch in small(batches):
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                lattice.expect(w, c, sums)
+                if w == END:
+                    ends += c
+                else:
+                    lattice.expect(w, c, found)
+        sums = lattice.numbered(found, ends)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(sums[some], pa.float64())], names=["piece", "n"])
 
@@ -194,7 +249,7 @@ def score_documents(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
-        for batch in batches:
+        for batch in small(batches):
             p = [lattice.log_marginal(w) / math.log(10) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=["word", "c", "p"])
 
@@ -207,13 +262,9 @@ def score_documents(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row without word for each document, then one for each of its words that are not broadcast."""
         get, row = table_of.value.get, TaskContext.get().partitionId() << 36
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(7)]
-
-            def put(*values) -> None:
-                for c, v in zip(cols, values):
-                    c.append(v)
-
+        at, word, times = [], [], []
+        for batch in small(batches):
+            heads = []
             for doc, text in zip(batch.column(0).to_pylist(), encoded(batch.column(1))):
                 base = full = 0.0
                 n = n_known = 0
@@ -221,22 +272,25 @@ def score_documents(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_
                     n += k
                     hit = get(w)
                     if hit is None:
-                        put(row, None, w, k, 0, 0.0, 0.0)
+                        at.append(row)
+                        word.append(w)
+                        times.append(k)
                     else:
                         base += k * hit[0]
                         full += k * hit[1]
                         n_known += k * hit[2]
-                put(row, doc, None, n, n_known, base, full)
+                heads.append((row, doc, n, n_known, base, full))
                 row += 1
-                if len(cols[0]) > 50_000:
-                    yield pack(cols)
-                    for c in cols:
-                        c.clear()
-            if cols[0]:
-                yield pack(cols)
+                if len(at) > 50_000:
+                    yield pack(row=at, word=word, n=times)
+                    at, word, times = [], [], []
+            if heads:
+                yield pack(**dict(zip(("row", "doc_id", "n", "n_known", "base", "full"), zip(*heads))))
+        if at:
+            yield pack(row=at, word=word, n=times)
 
     kinds = [("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("n", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("full", pa.float64())]
-    pack = lambda cols: pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, kinds)], names=[n for n, _ in kinds])
+    pack = lambda **own: pa.RecordBatch.from_arrays([pa.array(own[c], k) if c in own else pa.nulls(len(own["row"]), k) for c, k in kinds], names=[c for c, _ in kinds])
     parts = scratch.save(rows.select("doc_id", "text").mapInArrow(resolve, "row long, doc_id long, word binary, n long, n_known long, base double, full double"), "parts")
     rare = (
         parts.where("word is not null").select("row", "word", "n").join(known, "word")
