@@ -10,12 +10,13 @@ from .base import Family
 family = Family()
 query = family.query
 
-_BY_CUSTOMER = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def _by_customer():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 
 
 @query("win_row_number", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS rn FROM orders")
 def win_row_number(t):
-    return t("orders").select("o_orderkey", F.row_number().over(_BY_CUSTOMER).cast("long").alias("rn"))
+    return t("orders").select("o_orderkey", F.row_number().over(_by_customer()).cast("long").alias("rn"))
 
 
 @query("win_rank", "SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS BIGINT) AS r, CAST(dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS BIGINT) AS dr FROM part")
@@ -32,7 +33,7 @@ def win_percent_rank(t):
 
 @query("win_lag_lead", "SELECT o_orderkey, lag(o_totalprice) OVER w AS prev, lead(o_totalprice, 2, 0) OVER w AS next2 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def win_lag_lead(t):
-    return t("orders").select("o_orderkey", F.lag("o_totalprice").over(_BY_CUSTOMER).alias("prev"), F.lead("o_totalprice", 2, 0.0).over(_BY_CUSTOMER).alias("next2"))
+    return t("orders").select("o_orderkey", F.lag("o_totalprice").over(_by_customer()).alias("prev"), F.lead("o_totalprice", 2, 0.0).over(_by_customer()).alias("next2"))
 
 
 @query(
@@ -40,7 +41,7 @@ def win_lag_lead(t):
     "SELECT o_orderkey, first_value(o_totalprice) OVER w AS first_price, last_value(o_totalprice) OVER w AS last_price, nth_value(o_totalprice, 2) OVER w AS second_price FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
 )
 def win_first_last(t):
-    w = _BY_CUSTOMER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = _by_customer().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     price = "o_totalprice"
     return t("orders").select("o_orderkey", F.first(price).over(w).alias("first_price"), F.last(price).over(w).alias("last_price"), F.nth_value(price, 2).over(w).alias("second_price"))
 
@@ -53,12 +54,12 @@ def win_agg_partition(t):
 
 @query("win_running_total", "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running FROM orders")
 def win_running_total(t):
-    return t("orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(_BY_CUSTOMER.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"))
+    return t("orders").select("o_orderkey", F.round(F.sum("o_totalprice").over(_by_customer().rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"))
 
 
 @query("win_moving_average", "SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS moving FROM orders")
 def win_moving_average(t):
-    return t("orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_BY_CUSTOMER.rowsBetween(-2, 1)), 4).alias("moving"))
+    return t("orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_by_customer().rowsBetween(-2, 1)), 4).alias("moving"))
 
 
 @query("win_range_frame", "SELECT p_partkey, CAST(count(*) OVER (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS BIGINT) AS near FROM part")
