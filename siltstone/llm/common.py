@@ -8,6 +8,8 @@ folder made and registered instead.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.sources.session import ship
+
 #: A-Z to a-z, every other byte unchanged.
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -44,6 +48,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
@@ -69,7 +74,26 @@ class Scratch:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes, so that what a task makes of one stays small.
+
+    Python workers outlive their tasks; what this one no longer uses goes back to
+    the system at its end, so that the next finds room.
+    """
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            step = max(1, min(n, n * limit // max(1, batch.nbytes)))
+            for a in range(0, n, step):
+                yield batch.slice(a, step)
+    finally:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,17 +6,16 @@ verification, and connected components by alternating large-star and small-star.
 2. Of each class 128 minima of universal hashes are taken, and cut into 32 bands of
    4.  Classes that agree in a band share a bucket.  A pair at the threshold of 0.8
    misses all buckets with a likelihood of (1 - 0.8**4)**32 < 5e-8.
-3. In each bucket every member is paired with the bucket's least member: a row for a
-   member, never all pairs.  A pair's signatures and set sizes are compared, and
-   what may reach the threshold is confirmed on the full sets.  The confirmed links'
-   components follow.
-4. A bucket whose members are in one component is done.  The others can hold links
-   between two members that are not the least one, so their members are compared
-   with each other, in blocks of at most 2 * BLOCK members each (a bucket of m
-   members becomes about (m / BLOCK)**2 / 2 of them), again by signature, then
-   full set; a block returns the links of a spanning forest alone.  Buckets of the
-   same members are taken once.  There is no cap: every pair that shares a bucket is
-   either compared or known to be in one component.
+3. In each bucket every member is paired with one leader, another in each bucket of
+   the same documents: a row for a member, never all pairs.  A pair's signatures and
+   set sizes are compared, and what may reach the threshold is confirmed on the full
+   sets.  The confirmed links' components follow.
+4. A bucket whose members are in one component is done.  In the others each member
+   outside the bucket's largest component is compared with all members, in blocks of
+   about LEFT such members against RIGHT members, again by signature, then full set;
+   a block streams its members past the few, and returns the links of a spanning
+   forest alone.  Buckets of the same members are taken once.  There is no cap: every
+   pair that shares a bucket is either compared or known to be in one component.
 
 Sets below ``least`` shingles can only be linked to equal sets, and are left out
 of the banding.
@@ -39,13 +38,13 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import Scratch, encoded, hashed_texts, mix, table
+from .common import Scratch, encoded, hashed_texts, mix, small, table
 from .components import connected_components
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
-#: Members of one side of a block.
-BLOCK = 256
+#: Members of a block: those that are held, and those that stream past them.
+LEFT, RIGHT = 256, 4096
 _U64 = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 #: Universal hashes x -> (a x + b) >> 32 of 64-bit values, a odd.
@@ -108,7 +107,7 @@ def sketches(docs: DataFrame, size: int, least: int) -> DataFrame:
     """doc_id, n, k1, k2 (the set's size and key), bands and an 8-bit signature (null below ``least``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(encoded(batch.column(1)), size)):
                 own = minima(shingles) if len(shingles) >= least else None
@@ -123,7 +122,7 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [s.view(np.int64) for s in shingle_sets(encoded(batch.column(1)), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, kinds.field(1).type)], schema=kinds)
 
@@ -150,12 +149,13 @@ def components(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     )
     signed = heads.select("node", "n", "signature")
     members = heads.select("node", F.explode("bands").alias("bucket"))
-    shared = scratch.save(members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1"), "shared")
-    inside = scratch.save(members.join(shared, "bucket").select("bucket", "node", "least", "m"), "inside")
+    leader = F.min(F.struct(F.xxhash64("node", "bucket"), "node"))["node"]
+    shared = scratch.save(members.groupBy("bucket").agg(F.count("*").alias("m"), leader.alias("leader")).where("m > 1"), "shared")
+    inside = scratch.save(members.join(shared, "bucket").select("bucket", "node", "leader", "m"), "inside")
     scratch.drop(shared)
 
-    # Stars: each member against its bucket's least.
-    star = scratch.save(inside.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    # Stars: each member against its bucket's leader.
+    star = scratch.save(inside.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "star")
     likely = scratch.save(_likely(star, signed, percent), "likely")
     scratch.drop(star)
     # The texts of documents in shared buckets are read once more, for their sets.
@@ -170,11 +170,13 @@ def components(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
 
     # Buckets of three or more members that are not all in one component.
     placed = scratch.save(inside.where("m > 2").join(found, "node", "left").select("bucket", "node", "m", F.coalesce("component", "node").alias("component")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("of"), F.min("node").alias("first"), F.max("node").alias("last"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    once = scratch.save(mixed.groupBy("m", "of", "first", "last").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("m") / BLOCK).alias("sides")), "mixed")
-    rest = scratch.save(placed.join(once, "bucket").select("bucket", "node", "component", "sides"), "rest")
+    sizes = scratch.save(placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("of"), F.min("node").alias("first"), F.max("node").alias("last")), "sizes")
+    largest = F.max(F.struct("n", "component"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.bit_xor("of").alias("of"), F.min("first").alias("first"), F.max("last").alias("last"), largest["component"].alias("main"), largest["n"].alias("most")).where("m > most")
+    once = mixed.groupBy("m", "of", "first", "last").agg(F.min(F.struct("bucket", "main", "most")).alias("x")).select("x.bucket", "x.main", F.ceil((F.col("m") - F.col("x.most")) / LEFT).alias("lefts"), F.ceil(F.col("m") / RIGHT).alias("rights"))
+    rest = scratch.save(placed.join(scratch.save(once, "mixed"), "bucket").select("bucket", "node", "component", (F.col("component") != F.col("main")).alias("few"), "lefts", "rights"), "rest")
     more = scratch.save(_blocks(rest, signed, sets, percent), "more")
-    scratch.drop(inside, likely, placed, rest, once, sets)
+    scratch.drop(inside, likely, placed, sizes, rest, sets)
     labels = scratch.save(connected_components(links.select("a", "b").union(more), scratch), "labels")
 
     mine = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
@@ -190,7 +192,7 @@ def _likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     enough = _agreements(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
                 one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, HASHES) for k in (2, 3))
                 yield batch.select([0, 1]).filter(pa.array((one == two).sum(1) >= enough))
@@ -206,64 +208,73 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(rest: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links of spanning forests of the blocks of ``rest(bucket, node, component, sides)``."""
-    side = F.pmod(F.xxhash64("node"), F.col("sides"))
-    # A member of side s meets every side: block (lesser, greater).
-    dealt = rest.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
-    dealt = dealt.select("bucket", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "node", "component")
-    full = dealt.join(signed, "node").join(sets, "node")
-    near = full.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
+    """a, b: links of spanning forests of the blocks of ``rest(bucket, node, component, few, lefts, rights)``.
+
+    The few members outside a bucket's largest component are dealt over its
+    ``lefts``, all its members over its ``rights``; each left meets each right.
+    """
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    held = rest.where("few").withColumn("y", F.explode(upto("rights"))).select("bucket", own("lefts").alias("x"), "y", F.lit(0).alias("part"), "node", "component")
+    passing = rest.withColumn("x", F.explode(upto("lefts"))).select("bucket", "x", own("rights").alias("y"), F.lit(1).alias("part"), "node", "component")
+    full = held.union(passing).join(signed, "node").join(sets, "node")
+    near = full.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "part", "node")
     enough = _agreements(percent)
 
-    def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        of = {c: c for _, c, *_ in rows}
+    class Block:
+        def __init__(self):
+            self.of: dict[int, int] = {}
+            self.nodes, self.components, self.sizes, self.signs, self.sets = [], [], [], [], []
+            self.links: list[tuple[int, int]] = []
+            self.matrix = None
 
-        def root(c: int) -> int:
+        def root(self, c: int) -> int:
+            of = self.of
+            of.setdefault(c, c)
             while of[c] != c:
                 of[c] = of[of[c]]
                 c = of[c]
             return c
 
-        signs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), HASHES)
-        sizes = np.array([r[2] for r in rows])
-        held: dict[int, np.ndarray] = {}
-        for i in range(len(rows) - 1):
-            later = sizes[i + 1 :]
-            ok = (signs[i + 1 :] == signs[i]).sum(1) >= enough
-            ok &= 100 * np.minimum(later, sizes[i]) >= percent * np.maximum(later, sizes[i])
-            for j in np.flatnonzero(ok) + i + 1:
-                p, q = root(rows[i][1]), root(rows[j][1])
+        def hold(self, node: int, component: int, size: int, sign: bytes, shingles: np.ndarray) -> None:
+            for to, x in ((self.nodes, node), (self.components, component), (self.sizes, size), (self.signs, sign), (self.sets, shingles.copy())):
+                to.append(x)
+
+        def meet(self, node: int, component: int, size: int, sign: bytes, shingles: np.ndarray) -> None:
+            if self.matrix is None:
+                self.matrix = np.frombuffer(b"".join(self.signs), np.uint8).reshape(-1, HASHES)
+                self.sizes = np.array(self.sizes)
+            ok = (self.matrix == np.frombuffer(sign, np.uint8)).sum(1) >= enough
+            ok &= 100 * np.minimum(self.sizes, size) >= percent * np.maximum(self.sizes, size)
+            for k in np.flatnonzero(ok):
+                p, q = self.root(self.components[k]), self.root(component)
                 if p == q:
                     continue
-                for k in (i, j):
-                    if k not in held:
-                        held[k] = np.asarray(rows[k][4], np.int64)
-                common = len(np.intersect1d(held[i], held[j], assume_unique=True))
-                if 100 * common >= percent * (len(held[i]) + len(held[j]) - common):
-                    of[max(p, q)] = min(p, q)
-                    yield rows[i][0], rows[j][0]
+                common = len(np.intersect1d(self.sets[k], shingles, assume_unique=True))
+                if 100 * common >= percent * (len(self.sets[k]) + len(shingles) - common):
+                    self.of[max(p, q)] = min(p, q)
+                    self.links.append((self.nodes[k], node))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        key, block = None, Block()
 
         def out() -> pa.RecordBatch:
-            links = list(dict.fromkeys(linked(rows)))
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in block.links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in small(batches):
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            cols = [batch.column(k).to_pylist() for k in (3, 4, 5, 6)]
-            sets_of = batch.column(7)
-            for k, own in enumerate(keys):
-                if own != key:
-                    if rows:
+            parts, *cols = (batch.column(k).to_pylist() for k in (3, 4, 5, 6, 7))
+            shingles = batch.column(8)
+            for k, own_key in enumerate(keys):
+                if own_key != key:
+                    if block.links:
                         yield out()
-                    key, rows = own, []
-                rows.append((*(c[k] for c in cols), sets_of[k].values.to_numpy()))
-        if rows:
+                    key, block = own_key, Block()
+                (block.meet if parts[k] else block.hold)(*(c[k] for c in cols), shingles[k].values.to_numpy())
+        if block.links:
             yield out()
 
-    return near.select("bucket", "x", "y", "node", "component", "n", "signature", "shingles").mapInArrow(run, "a long, b long").distinct()
+    return near.select("bucket", "x", "y", "part", "node", "component", "n", "signature", "shingles").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
