@@ -15,10 +15,11 @@ vocabulary itself is never trained.  Bytes outside the vocabulary are spelled by
 its byte pieces, so every text has a probability above 0.
 
 The data.  Training counts, piece counts and document sums cover all rows.
-Words of the highest counts (``hot`` of them, a fixed bound) are broadcast, and
-most tokens of a document are summed where it is read; the rest are shuffled as
-(document, word, count) and joined with the word table.  Any word outside the
-broadcast is rarer than those in it, so no join key is hot.
+Words of the highest counts (at most ``hot`` of them, long ones by their digest)
+are broadcast, and most tokens of a document are summed where it is read; the rest
+are shuffled as (document, word, count) and joined with the word table.  Words in
+the broadcast are those above a count that a histogram of counts gives, so that
+no more than they reach the driver; any other word is rarer, and no join key hot.
 
 Defined cases: a null or empty text is the end token alone; repeated rows and
 doc_ids are scored and learned from as often as they occur; a null doc_id is
@@ -29,11 +30,13 @@ read, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark import TaskContext
@@ -46,6 +49,15 @@ END = b""
 _MARK = "▁".encode()
 
 
+#: Longer words are broadcast as digests.
+LONG = 64
+
+
+def short(word: bytes) -> bytes:
+    """A key of at most LONG bytes; that of a long word holds a blank, as no word does."""
+    return word if len(word) <= LONG else b" " + hashlib.blake2b(word, digest_size=16).digest()
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words [^\\x20\\x09-\\x0D]+ after A-Z became a-z, then the end."""
     out = text.translate(LOWER).split()
@@ -250,14 +262,21 @@ def score_documents(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
         for batch in small(batches):
-            p = [lattice.log_marginal(w) / math.log(10) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=["word", "c", "p"])
+            every = batch.column(0).to_pylist()
+            p = [lattice.log_marginal(w) / math.log(10) for w in every]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(map(short, every), pa.binary())], names=["word", "c", "p", "key"])
 
-    known = scratch.save(words.mapInArrow(marginals, "word binary, c long, p double"), "scored")
+    known = scratch.save(words.mapInArrow(marginals, "word binary, c long, p double, key binary"), "scored")
     scratch.drop(words)
-    # A fixed number of words, each cut off beyond 64 bytes: longer ones stay in the table.
-    top = known.where(F.length("word") <= 64).orderBy(F.desc("c"), "word").limit(hot).toPandas()
-    table_of = spark.sparkContext.broadcast({bytes(w): (math.log10(c + 1), p, c > 0) for w, c, p in zip(top["word"], top["c"].tolist(), top["p"].tolist())})
+    # Sixteen steps of counts an octave: a histogram of some hundred rows, whatever the corpus.
+    step = F.floor(F.log2(F.col("c") + 1.0) * 16)
+    least, held = None, 0
+    for k, n in sorted(known.groupBy(step.alias("k")).agg(F.count("*")).collect(), reverse=True):
+        if held + n > hot:
+            break
+        least, held = k, held + n
+    top = known.where(step >= least).select("key", "c", "p").toPandas() if held else pd.DataFrame({"key": [], "c": [], "p": []})
+    table_of = spark.sparkContext.broadcast({bytes(w): (math.log10(c + 1), p, c > 0) for w, c, p in zip(top["key"], top["c"].tolist(), top["p"].tolist())})
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row without word for each document, then one for each of its words that are not broadcast."""
@@ -270,7 +289,7 @@ def score_documents(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_
                 n = n_known = 0
                 for w, k in Counter(tokens(text)).items():
                     n += k
-                    hit = get(w)
+                    hit = get(w if len(w) <= LONG else short(w))
                     if hit is None:
                         at.append(row)
                         word.append(w)
@@ -293,7 +312,7 @@ def score_documents(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_
     pack = lambda **own: pa.RecordBatch.from_arrays([pa.array(own[c], k) if c in own else pa.nulls(len(own["row"]), k) for c, k in kinds], names=[c for c, _ in kinds])
     parts = scratch.save(rows.select("doc_id", "text").mapInArrow(resolve, "row long, doc_id long, word binary, n long, n_known long, base double, full double"), "parts")
     rare = (
-        parts.where("word is not null").select("row", "word", "n").join(known, "word")
+        parts.where("word is not null").select("row", "word", "n").join(known.select("word", "c", "p"), "word")
         .groupBy("row")
         .agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_base"), F.sum(F.col("n") * F.col("p")).alias("more_full"))
     )
