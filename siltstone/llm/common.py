@@ -27,6 +27,20 @@ _U64 = np.uint64
 _MULT = _U64(0x9E3779B97F4A7C15)
 
 
+#: Bytes of a batch that Spark hands to Python; its own default is eight times as much.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def prepare(spark: SparkSession) -> None:
+    """Gives executors the code, and bounds batches by bytes where the session does not say how.
+
+    Texts can be long, and a batch is held by the JVM and by the Python worker at once.
+    """
+    ship(spark)
+    if BATCH_BYTES[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH_BYTES)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI without a trailing slash."""
     told = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,18 +54,29 @@ def shared_dir(spark: SparkSession) -> str:
     return told.rstrip("/")
 
 
+_ROOTS: list[str] = []
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all that operators of this process left in the shared folder; their results can't be read after it."""
+    scratch = Scratch(spark, "sweep")
+    while _ROOTS:
+        scratch.remove(_ROOTS.pop())
+
+
 class Scratch:
     """Tables of one operator run, as Parquet in the shared folder.
 
     ``save`` cuts the lineage: a lost executor costs a re-read, not a re-run.
-    ``drop`` frees a table that no later step reads.
+    ``drop`` frees a table that no later step reads; ``sweep`` all that is left.
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        ship(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _ROOTS.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -93,7 +118,7 @@ def small(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[p
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ kinds of characters it has, how its punctuation repeats, and whether it equals
 the word before.  A slot's value is its share of the text's n-grams, so a text's
 length does not move its score.
 
-Training takes at most ``max_rows`` labelled rows (20,000 by default), those
+Training takes at most ``max_rows`` labelled rows (8,000 by default), those
 with the least hashes of their id, and runs in one task of that bounded size;
 an executor that dies there costs one repeated task.  Scoring reads every whole
 text once, without a shuffle; what is broadcast is the weights, 8 * 2**bits bytes.
@@ -28,7 +28,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import SPACE_TABLE, encoded, hashed_texts, mix, table, word_spans
+from .common import SPACE_TABLE, encoded, hashed_texts, mix, prepare, small, table, word_spans
 
 BITS = 18
 _U64 = np.uint64
@@ -101,58 +101,66 @@ class Ftrl:
 SCALE = 20.0
 
 
-def fit(texts: list[bytes], labels: list[int], bits: int = BITS, epochs: int = 3) -> np.ndarray:
-    """Weights of all slots and the bias, after ``epochs`` passes in the given order."""
-    model = Ftrl(1 << bits)
-    rows = []
+Row = tuple[np.ndarray, np.ndarray, int]
+
+
+def training_rows(texts: list[bytes], labels: list[int], bits: int = BITS) -> Iterator[Row]:
+    """Distinct slots, their counts and the label of each text."""
     for a, b, slots, at in features(texts, bits):
         for k in range(b - a):
             s, c = np.unique(slots[at[k] : at[k + 1]], return_counts=True)
-            rows.append((np.append(s, 1 << bits).astype(np.int32), np.append(c * (SCALE / max(1, c.sum())), 1.0).astype(np.float32), labels[a + k]))
+            yield s.astype(np.int32), c.astype(np.int32), labels[a + k]
+
+
+def fit(rows: list[Row], bits: int = BITS, epochs: int = 3) -> np.ndarray:
+    """Weights of all slots and the bias, after ``epochs`` passes in the given order."""
+    model = Ftrl(1 << bits)
     for _ in range(epochs):
-        for s, v, y in rows:
-            model.learn(s, v.astype(float), y)
+        for s, c, y in rows:
+            model.learn(np.append(s, 1 << bits), np.append(c * (SCALE / max(1, c.sum())), 1.0), y)
     return model.weights()
 
 
 def scores(texts: list[bytes], weights: np.ndarray, bits: int = BITS) -> np.ndarray:
     out = np.full(len(texts), weights[-1])
     for a, b, slots, at in features(texts, bits):
-        sums = np.concatenate([[0.0], np.cumsum(weights[slots])])
-        out[a:b] += SCALE * (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, np.diff(at))
+        size = np.diff(at)
+        some = np.flatnonzero(size)
+        if len(some):  # each text is summed on its own, so that equal texts score alike to the last bit
+            out[a + some] += SCALE * np.add.reduceat(weights[slots], at[some]) / size[some]
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 20_000, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 8_000, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Weights learned from at most ``max_rows`` labelled documents, in the order of their ids' hashes."""
-    picked = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-        .where("id is not null and label in (0, 1)")
-        .orderBy(F.xxhash64("id"), "id", "label")
-        .limit(max_rows)
-    )
+    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    # Hashes are even over 64 bits: a few more than max_rows are below this one, and no more are sorted.
+    below = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.25 * max_rows / max(1, usable.count()))))
+    picked = usable.where(F.xxhash64("id") <= below).orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
     bounded = F.broadcast(picked)  # max_rows rows of an id and a label at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(bounded, "id")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, marks = [], []
-        for batch in batches:
-            texts += encoded(batch.column(0))
-            marks += batch.column(1).to_pylist()
-        w = fit(texts, marks, bits) if texts else np.zeros((1 << bits) + 1)
+        held: list[Row] = []
+        for batch in small(batches):
+            held += training_rows(encoded(batch.column(0)), batch.column(1).to_pylist(), bits)
+        w = fit(held, bits) if held else np.zeros((1 << bits) + 1)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["weights"])
 
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "label", "text").select("text", "label")
-    return np.frombuffer(one.mapInArrow(learn, "weights binary").collect()[0][0])
+    prepare(docs.sparkSession)
+    found = one.mapInArrow(learn, "weights binary").collect()  # one row; none if there is nothing to learn from
+    return np.frombuffer(found[0][0]) if found else np.zeros((1 << bits) + 1)
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with ``score_col``, the likelihood of label 1 (a column of that name is replaced)."""
+    prepare(docs.sparkSession)
     docs = docs.drop(score_col)
     told = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = encoded(batch.column(batch.schema.names.index(text_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(texts, told.value, bits), pa.float64())], names=[*batch.schema.names, score_col])
 
