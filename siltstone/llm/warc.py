@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Scratch, table
+from .common import Scratch, small, table
 from .stores import committed, open_store
 
 # Fixed values of the WARC 1.1 format.
@@ -99,11 +99,13 @@ MOST_SHARDS, SAMPLE = 10_000, 20
 
 def cuts(meta: DataFrame, shard_bytes: int) -> list[int]:
     """Ids at which shards begin, but for the first; the same for the same rows."""
-    total = meta.agg(F.coalesce(F.sum("size"), F.lit(0)) + F.count("*") * 600).first()[0]
+    total, rows = meta.agg(F.coalesce(F.sum("size"), F.lit(0)) + F.count("*") * 600, F.count("page_id")).first()
     n = min(MOST_SHARDS, max(1, -(-int(total) // shard_bytes)))
-    if n == 1:
+    if n == 1 or not rows:
         return []
-    picked = meta.where("page_id is not null").orderBy(F.xxhash64("page_id"), "page_id", "size").select("page_id", "size").limit(n * SAMPLE).toPandas()
+    # Hashes are even over 64 bits: about n * SAMPLE rows are below this one.
+    below = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, n * SAMPLE / rows)))
+    picked = meta.where(F.xxhash64("page_id") <= below).where("page_id is not null").select("page_id", "size").toPandas()
     picked = picked.sort_values(["page_id", "size"])
     share = np.cumsum(picked["size"].to_numpy() + 600.0)
     at = np.searchsorted(share, share[-1] * np.arange(1, n) / n) if len(picked) else []
@@ -135,7 +137,7 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, id_col: str = "p
 
         def records() -> Iterator[tuple[int, bytes]]:
             nonlocal keeper, about
-            for batch in batches:
+            for batch in small(batches):
                 cols = [batch.column(n).to_pylist() for n in ("page_id", "digest", "kind", "keeper", "url", "shard")]
                 payloads = batch.column("payload")
                 for k, (page, digest, kind, told, url, shard) in enumerate(zip(*cols)):
@@ -213,7 +215,7 @@ def read_warc(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
-        for batch in batches:
+        for batch in small(batches):
             for name, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows, held, seen = [], 0, 0
                 with store.open_input_stream(f"{path}/{name}", compression=None) as f:
