@@ -28,7 +28,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import LOWER, table
+from .common import LOWER, prepare, small, table
 
 #: ASCII that is no part of a word, after A-Z are lower-cased.
 BREAKS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -190,6 +190,7 @@ _ADDED = (("dc_n_words", T.LongType(), pa.int64()), ("dc_spans", _SPANS, pa.list
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", max_words: int = 2_000_000) -> DataFrame:
     """``docs`` with dc_n_words, dc_spans (hit words, [first, past) each) and dc_items (ids as strings, sorted)."""
     spark = docs.sparkSession
+    prepare(spark)
     out = docs.drop(*(c for c, _, _ in _ADDED))
     for k, automaton in enumerate([*automata(benchmark, window, max_words=max_words)] or [SuffixAutomaton([], window)]):
         out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(automaton), text_col, k > 0), _with(out.schema))
@@ -214,7 +215,7 @@ def _merged(one: list[list[int]], two: list[list[int]]) -> list[list[int]]:
 def _scanner(automaton, text_col: str, again: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = automaton.value
-        for batch in batches:
+        for batch in small(batches):
             names = batch.schema.names
             sizes, spans, items = [], [], []
             for text in batch.column(names.index(text_col)).cast(pa.binary()).to_pylist():
@@ -249,7 +250,7 @@ def _cutter(text_col: str, least: int) -> Callable:
         return b"".join([*out, raw[done:]]).decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             k, s = batch.schema.names.index(text_col), batch.schema.names.index("dc_spans")
             texts = [cut(t, x) for t, x in zip(batch.column(k).to_pylist(), batch.column(s).to_pylist())]
             yield batch.set_column(k, text_col, pa.array(texts, batch.schema.field(k).type))

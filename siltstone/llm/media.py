@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import Scratch, encoded, table
+from .common import Scratch, encoded, prepare, small, table
 from .stores import committed, open_store
 
 WIDTH = 64
@@ -95,7 +95,7 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
         store.create_dir(path, recursive=True)
-        rows = ((i, t) for b in batches for i, t in zip(b.column(0).to_pylist(), encoded(b.column(1))))
+        rows = ((i, t) for b in small(batches) for i, t in zip(b.column(0).to_pylist(), encoded(b.column(1))))
         part, told, row = TaskContext.get().partitionId(), [], next(rows, None)
         while row is not None:
             name, held = f"media-{part:06d}-{len(told):06d}.zip", 0
@@ -111,6 +111,7 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if told:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*told)], names=["archive", "members", "bytes"])
 
+    prepare(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return narrow.mapInArrow(run, "archive string, members long, bytes long")
 
@@ -201,6 +202,7 @@ class MediaArchive(DataSource):
 
 
 def read_media(spark: SparkSession, folder: str, **options) -> DataFrame:
+    prepare(spark)
     spark.dataSource.register(MediaArchive)
     return spark.read.format("media_archive").options(**options).load(folder)
 
@@ -210,7 +212,7 @@ def described(media: DataFrame) -> DataFrame:
     kinds = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("feature", pa.string()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for name, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 payload, size = from_png(media)

@@ -31,7 +31,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import Scratch, encoded, table
+from .common import Scratch, encoded, prepare, small, table
 from .packing import encoder
 
 KEYS = ("source", "lang", "tokenizer")
@@ -43,7 +43,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None, version: str, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer) if tokenizer else None
-        for batch in batches:
+        for batch in small(batches):
             texts = [t.decode() if encode else t for t in encoded(batch.column(batch.schema.names.index(text_col)))]
             counts: list[int] = []
             for a in range(0, len(texts), 64):
@@ -51,6 +51,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None, version: str, text_col:
             kept = [k for k, n in enumerate(batch.schema.names) if n != text_col]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array([version] * len(texts), pa.string()), pa.array(counts, pa.int64())], names=[*(batch.schema.names[k] for k in kept), "tokenizer", "tokens"])
 
+    prepare(docs.sparkSession)
     narrow = docs.drop("tokenizer", "tokens")
     fields = [f for f in narrow.schema.fields if f.name != text_col]
     return narrow.mapInArrow(run, T.StructType([*fields, T.StructField("tokenizer", T.StringType()), T.StructField("tokens", T.LongType())]))
