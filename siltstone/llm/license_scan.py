@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from .common import Scratch, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright\b|\(c\)|©|all rights reserved\b)[^\n]*$"
+# A line of a reflowed text may begin by "copyright notice"; a mark, a year or a blank to fill in makes it a claim.
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|\d|by\b|[<\[{])|\(c\)|©|all rights reserved\b)[^\n]*$"
 # ASCII signs and the typographic ones that stand for them; what is no word.
 SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©®–—‘’“”…]+"
 # Spellings that licence matching takes as equal.
