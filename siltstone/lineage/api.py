@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import combine, documents, events, render, statements
 from .corpus import Corpus, parse_statements, parsed_row
 from .dialects import parse_any
+from .logs import timed
 from .providers import MetadataProvider, Registry
 from .syntax import SqlSyntaxError
 from .validation import chain_error, path_error, sql_error
@@ -53,6 +54,7 @@ class LineageAnalyzer:
 
     def __init__(self, dialect: str = "trino", mode: str = "full", registry: Registry | None = None):
         self.dialect, self.mode, self.registry = dialect, mode, registry or Registry()
+        self._corrected: tuple[str, str] | None = None
 
     def set_dialect(self, dialect: str) -> None:
         self.dialect = dialect
@@ -65,9 +67,20 @@ class LineageAnalyzer:
 
     # one statement
 
+    @timed
     def row(self, sql: str) -> dict:
-        log.debug("parsing %s characters", len(sql or ""))
-        return parsed_row(0, sql, self.dialect, self.mode)
+        out = parsed_row(0, sql, self.dialect, self.mode)
+        if out["dialect"] != self.dialect:
+            self._corrected = (self.dialect, out["dialect"])
+            log.info("dialect %s was corrected to %s", *self._corrected)
+        return out
+
+    def get_dialect_correction_info(self) -> dict | None:
+        """The last text's dialect that was not the given one, if there was any."""
+        return {"original_dialect": self._corrected[0], "corrected_dialect": self._corrected[1]} if self._corrected else None
+
+    def reset_dialect_correction(self) -> None:
+        self._corrected = None
 
     def analyze(self, sql: str) -> LineageResult:
         return self._result(self.row(sql))

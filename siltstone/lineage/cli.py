@@ -5,13 +5,13 @@ from __future__ import annotations
 import argparse
 import glob
 import json
-import logging
 import os
 import sys
 
 from . import render
 from .api import LineageAnalyzer
 from .dialects import DIALECTS
+from .logs import setup
 from .validation import dialect_error, path_error
 
 
@@ -32,7 +32,7 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--format", default="console", choices=("console", "json", "compact"))
     one.add_argument("--output")
     args = p.parse_args(argv)
-    logging.basicConfig(level=os.environ.get("SILTSTONE_LOG_LEVEL", "WARNING"))
+    setup()
     if why := dialect_error(args.dialect):
         return fail(why)
     return analyze(args) if args.command == "analyze" else batch(args)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from typing import Protocol
 
-from pyspark.sql import SparkSession
+import pyspark.sql.functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .naming import clean_name
 
@@ -49,6 +50,27 @@ class JsonProvider(DictProvider):
             super().__init__(json.load(f))
 
 
+class ColumnsProvider:
+    """A table of columns as databases keep it: table_schema, table_name, column_name, data_type, is_nullable.
+
+    It may be any DataFrame, also one read over JDBC; each question is a filter that reaches its source.
+    """
+
+    def __init__(self, columns: DataFrame):
+        self.columns = columns
+
+    def table(self, name: str) -> dict | None:
+        schema, _, base = clean_name(name).rpartition(".")
+        rows = self.columns.where(F.lower("table_name") == base.lower())
+        if schema:
+            rows = rows.where(F.lower("table_schema") == schema.rpartition(".")[2].lower())
+        found = rows.collect()  # one table's columns
+        if not found:
+            return None
+        columns = [{"name": r["column_name"], "data_type": r["data_type"], "nullable": r["is_nullable"] in (True, "YES"), "primary_key": False} for r in found]
+        return {"schema": found[0]["table_schema"], "table_type": "TABLE", "description": "Table information", "columns": columns}
+
+
 class Registry:
     """Providers in the order in which they are asked."""
 
