@@ -71,12 +71,13 @@ def json_extract(t):
     return t("events").select("event_id", k.alias("k"), k.try_cast("long").alias("number"))
 
 
-@query("array_explode", "SELECT item_id, unnest(string_split(lower(text), ' ')) AS word FROM benchmark")
+@query("array_explode", "SELECT p_partkey, unnest(string_split(p_type, ' ')) AS word FROM part")
 def array_explode(t):
-    return t("benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    return t("part").select("p_partkey", F.explode(F.split("p_type", " ")).alias("word"))
 
 
-@query("vector_norm", "SELECT vec_id, label, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))), 4) AS norm FROM embeddings")
-def vector_norm(t):
-    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return t("embeddings").select("vec_id", "label", F.round(F.sqrt(total), 4).alias("norm"))
+@query("array_higher_order", "SELECT l_orderkey, round(list_sum(list_transform(list(l_quantity), lambda x: x * x)), 2) AS squares, CAST(len(list_filter(list(l_discount), lambda x: x > 0.05)) AS BIGINT) AS reduced FROM lineitem GROUP BY l_orderkey")
+def array_higher_order(t):
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"), F.collect_list("l_discount").alias("d"))
+    squares = F.aggregate(F.transform("q", lambda x: x * x), F.lit(0.0), lambda s, x: s + x)
+    return lines.select("l_orderkey", F.round(squares, 2).alias("squares"), F.size(F.filter("d", lambda x: x > 0.05)).cast("long").alias("reduced"))
