@@ -26,8 +26,11 @@ MOST_COVERED = 0.05
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score is at least LEAST_QUALITY."""
     weights = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, weights, score_col="qc_score")
-    return scored.where(F.col("qc_score") >= LEAST_QUALITY).select(*docs.columns)
+    name = "qc_score"
+    while name in docs.columns:
+        name += "_"
+    scored = quality.score(docs, weights, score_col=name)
+    return scored.where(F.col(name) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
