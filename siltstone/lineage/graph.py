@@ -27,7 +27,7 @@ def closure(edges: DataFrame, key: str, parent: str, child: str, max_depth: int
 
     A node on a cycle reaches itself.
     """
-    e = edges.select(F.col(key).alias("key"), F.col(parent).alias("parent"), F.col(child).alias("child")).distinct()
+    e = cut(edges.select(F.col(key).alias("key"), F.col(parent).alias("parent"), F.col(child).alias("child")).distinct())
     found = e.select("key", F.col("parent").alias("root"), F.col("child").alias("node"), F.lit(1).alias("depth"))
     front, depth = found, 1
     while max_depth is None or depth < max_depth:
@@ -47,7 +47,7 @@ def paths(edges: DataFrame, key: str, parent: str, child: str, roots: DataFrame
 
     For rendering single statements; over dense graphs use ``closure``, which keeps one row a pair.
     """
-    e = edges.select(F.col(key).alias("key"), F.col(parent).alias("p"), F.col(child).alias("c")).distinct()
+    e = cut(edges.select(F.col(key).alias("key"), F.col(parent).alias("p"), F.col(child).alias("c")).distinct())
     starts = roots.select(F.col(key).alias("key"), F.col("root")) if roots is not None else e.select("key", F.col("p").alias("root"))
     front = starts.distinct().select("key", "root", F.lit(None).cast("string").alias("parent"), F.col("root").alias("node"), F.lit(0).alias("depth"), F.array("root").alias("path"), F.lit(False).alias("is_cycle"))
     found, depth = front, 0
@@ -66,7 +66,7 @@ def depths(edges: DataFrame, key: str, parent: str, child: str) -> DataFrame:
 
     For graphs without cycles; nodes on or behind a cycle are left out.
     """
-    e = edges.select(F.col(key).alias("key"), F.col(parent).alias("p"), F.col(child).alias("c")).distinct()
+    e = cut(edges.select(F.col(key).alias("key"), F.col(parent).alias("p"), F.col(child).alias("c")).distinct())
     nodes = e.select("key", F.col("p").alias("node")).union(e.select("key", "c")).distinct()
     done = cut(nodes.join(e.select("key", F.col("c").alias("node")), ["key", "node"], "left_anti").withColumn("depth", F.lit(0)))
     level, left = done, e
