@@ -118,19 +118,21 @@ def sketches(docs: DataFrame, size: int, least: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingles."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """node, n, signature, shingles of texts that have any."""
+    kinds = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sets = [s.view(np.int64) for s in shingle_sets(encoded(batch.column(1)), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, kinds.field(1).type)], schema=kinds)
+            rows = [(d, len(s), minima(s).astype(np.uint8).tobytes(), s.view(np.int64)) for d, s in zip(batch.column(0).to_pylist(), shingle_sets(encoded(batch.column(1)), size)) if len(s)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
 
-    return docs.mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.mapInArrow(run, "node long, n long, signature binary, shingles array<long>")
 
 
-def _agreements(least_hundredths: int) -> int:
-    t = least_hundredths / 100
+def _agreements(percent: int) -> int:
+    """Agreeing minima below which a pair at the threshold hardly ever falls."""
+    t = percent / 100
     return int(HASHES * t - DEVIATIONS * (HASHES * t * (1 - t)) ** 0.5)
 
 
@@ -160,7 +162,7 @@ def components(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     scratch.drop(star)
     # The texts of documents in shared buckets are read once more, for their sets.
     wanted = inside.where("m > 2").select("node").union(likely.select("a")).union(likely.select("b")).distinct()
-    sets = scratch.save(full_sets(docs.join(scratch.save(wanted, "wanted"), F.col("doc_id") == F.col("node"), "left_semi"), size).select(F.col("doc_id").alias("node"), "shingles"), "sets")
+    sets = scratch.save(full_sets(docs.join(scratch.save(wanted, "wanted"), F.col("doc_id") == F.col("node"), "left_semi"), size), "sets")
     # A document with several texts ties their classes together.
     named_class = named.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
     of_doc = scratch.save(named_class.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("doc_id").alias("several")), "several")
@@ -175,7 +177,7 @@ def components(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.bit_xor("of").alias("of"), F.min("first").alias("first"), F.max("last").alias("last"), largest["component"].alias("main"), largest["n"].alias("most")).where("m > most")
     once = mixed.groupBy("m", "of", "first", "last").agg(F.min(F.struct("bucket", "main", "most")).alias("x")).select("x.bucket", "x.main", F.ceil((F.col("m") - F.col("x.most")) / LEFT).alias("lefts"), F.ceil(F.col("m") / RIGHT).alias("rights"))
     rest = scratch.save(placed.join(scratch.save(once, "mixed"), "bucket").select("bucket", "node", "component", (F.col("component") != F.col("main")).alias("few"), "lefts", "rights"), "rest")
-    more = scratch.save(_blocks(rest, signed, sets, percent), "more")
+    more = scratch.save(_blocks(rest, sets, percent), "more")
     scratch.drop(inside, likely, placed, sizes, rest, sets)
     labels = scratch.save(connected_components(links.select("a", "b").union(more), scratch), "labels")
 
@@ -207,7 +209,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
 
 
-def _blocks(rest: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links of spanning forests of the blocks of ``rest(bucket, node, component, few, lefts, rights)``.
 
     The few members outside a bucket's largest component are dealt over its
@@ -217,7 +219,7 @@ def _blocks(rest: DataFrame, signed: DataFrame, sets: DataFrame, percent: int) -
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     held = rest.where("few").withColumn("y", F.explode(upto("rights"))).select("bucket", own("lefts").alias("x"), "y", F.lit(0).alias("part"), "node", "component")
     passing = rest.withColumn("x", F.explode(upto("lefts"))).select("bucket", "x", own("rights").alias("y"), F.lit(1).alias("part"), "node", "component")
-    full = held.union(passing).join(signed, "node").join(sets, "node")
+    full = held.union(passing).join(sets, "node")
     near = full.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "part", "node")
     enough = _agreements(percent)
 
@@ -289,7 +291,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     """``docs`` without documents that are linked to one of a lesser id; rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "minhash-drop")
     gone = scratch.save(near_duplicates(docs, size, percent, id_col, text_col).where(~F.col("nd_kept")).select(F.col("doc_id").alias("nd_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("nd_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["nd_gone"], "left_anti")
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
