@@ -119,6 +119,12 @@ def test_joins_keep_their_kinds():
     assert [(j["join_type"], j["right_table"], len(j["conditions"])) for j in joins] == [("LEFT OUTER JOIN", "b", 2), ("CROSS JOIN", "c", 0), ("FULL JOIN", "d", 1)]
 
 
+def test_joins_in_brackets():
+    sql = "SELECT a.x, c.y FROM (a JOIN b ON a.i = b.i) LEFT JOIN (c CROSS JOIN (SELECT 1 AS z FROM d JOIN e ON d.q = e.q) f) ON a.i = c.i"
+    assert up(sql) == {R: ["a", "b", "c", "d", "e"]}
+    assert [j["right_table"] for j in A.row(sql)["transformations"][0]["joins"]] == ["b", "c", "derived_table_f"]
+
+
 def test_windows_cases_and_aggregates():
     row = A.row("SELECT ROW_NUMBER() OVER (PARTITION BY r ORDER BY s DESC ROWS UNBOUNDED PRECEDING) AS rn, CASE WHEN s > 1 THEN 'a' WHEN s > 0 THEN 'b' ELSE 'c' END AS tier, COUNT(DISTINCT u) AS n, CAST(d AS DATE) AS day, a + b AS ab, UPPER(c) AS up FROM t GROUP BY 1")
     by = {c["target_column"]: c for c in row["column_edges"]}
