@@ -77,7 +77,7 @@ def test_recursive_cte_may_name_itself():
     assert up("WITH RECURSIVE t AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM t JOIN base ON base.n = t.n) SELECT n FROM t WHERE n < 9")["t"] == ["base", "t"]
 
 
-@pytest.mark.parametrize("sql, word", [("", "empty"), ("   ", "empty"), ("-- only a comment", "parse"), ("SELECT FROM WHERE", "parse"), ("SELECT a, b WHERE a = 'x'", "parse"), ("x" * 1_000_001, "too long"), ("SELECT a FROM (SELECT b FROM t", "parse"), ("SELECT count( count( * FROM x", "parse")])
+@pytest.mark.parametrize("sql, word", [("", "empty"), ("   ", "empty"), ("-- only a comment", "parse"), ("SELECT FROM WHERE", "parse"), ("SELECT a, b WHERE a = 'x'", "parse"), ("x" * 1_000_001, "too long"), ("SELECT a FROM (SELECT b FROM t", "parse"), ("SELECT count( count( * FROM x", "parse"), ("INSERT INTO t PARTITION ( (1)", "parse")])
 def test_errors(sql, word):
     result = A.analyze(sql)
     assert result.has_errors() and word in result.errors[0].lower()
