@@ -39,8 +39,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts spans of ten words or more that a benchmark item holds, and drops documents with many of them."""
-    return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"), window=10, least_words=10, max_coverage=MOST_COVERED)
+    """Cuts what occurs of a benchmark item (ten words in a row, or a whole shorter item), and drops documents with much of it."""
+    return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"), window=10, least_words=1, max_coverage=MOST_COVERED)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

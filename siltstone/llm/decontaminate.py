@@ -187,13 +187,20 @@ _SPANS = T.ArrayType(T.ArrayType(T.IntegerType()))
 _ADDED = (("dc_n_words", T.LongType(), pa.int64()), ("dc_spans", _SPANS, pa.list_(pa.list_(pa.int32()))), ("dc_items", T.ArrayType(T.StringType()), pa.list_(pa.string())))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", max_words: int = 2_000_000) -> DataFrame:
-    """``docs`` with dc_n_words, dc_spans (hit words, [first, past) each) and dc_items (ids as strings, sorted)."""
+Then = Callable[[pa.RecordBatch], pa.RecordBatch]
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", max_words: int = 2_000_000, then: Then | None = None) -> DataFrame:
+    """``docs`` with dc_n_words, dc_spans (hit words, [first, past) each) and dc_items (ids as strings, sorted).
+
+    ``then`` is applied to the batches of the last pass, in the same Python worker.
+    """
     spark = docs.sparkSession
     prepare(spark)
     out = docs.drop(*(c for c, _, _ in _ADDED))
-    for k, automaton in enumerate([*automata(benchmark, window, max_words=max_words)] or [SuffixAutomaton([], window)]):
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(automaton), text_col, k > 0), _with(out.schema))
+    blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, max_words=max_words)] or [spark.sparkContext.broadcast(SuffixAutomaton([], window))]
+    for k, block in enumerate(blocks):
+        out = out.mapInArrow(_scanner(block, text_col, k > 0, then if block is blocks[-1] else None), _with(out.schema))
     return out
 
 
@@ -212,7 +219,7 @@ def _merged(one: list[list[int]], two: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scanner(automaton, text_col: str, again: bool) -> Callable:
+def _scanner(automaton, text_col: str, again: bool, then: Then | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sam = automaton.value
         for batch in small(batches):
@@ -229,13 +236,14 @@ def _scanner(automaton, text_col: str, again: bool) -> Callable:
                 items = [sorted({*x, *y}) for x, y in zip(batch.column(names.index("dc_items")).to_pylist(), items)]
             kept = [(n, c) for n, c in zip(names, batch.columns) if n not in {c for c, _, _ in _ADDED}]
             more = [(c, pa.array(v, kind)) for (c, _, kind), v in zip(_ADDED, (sizes, spans, items))]
-            yield pa.RecordBatch.from_arrays([c for _, c in [*kept, *more]], names=[n for n, _ in [*kept, *more]])
+            out = pa.RecordBatch.from_arrays([c for _, c in [*kept, *more]], names=[n for n, _ in [*kept, *more]])
+            yield then(out) if then else out
 
     return run
 
 
-def _cutter(text_col: str, least: int) -> Callable:
-    """Cuts the bytes from the first to the last word of each span of ``least`` words or more."""
+def _cutter(text_col: str, least: int, max_coverage: float) -> Then:
+    """Drops texts that are hit beyond ``max_coverage``; of others it cuts the bytes from the first to the last word of each span of ``least`` words or more."""
 
     def cut(text: str | None, spans: list[list[int]]) -> str | None:
         spans = [s for s in spans if s[1] - s[0] >= least]
@@ -249,26 +257,25 @@ def _cutter(text_col: str, least: int) -> Callable:
             done = at[past - 1][1]
         return b"".join([*out, raw[done:]]).decode()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            k, s = batch.schema.names.index(text_col), batch.schema.names.index("dc_spans")
-            texts = [cut(t, x) for t, x in zip(batch.column(k).to_pylist(), batch.column(s).to_pylist())]
-            yield batch.set_column(k, text_col, pa.array(texts, batch.schema.field(k).type))
+    def then(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names = batch.schema.names
+        k, spans = names.index(text_col), batch.column(names.index("dc_spans")).to_pylist()
+        hits = (sum(b - a for a, b in x) for x in spans)
+        stay = [h <= n * max_coverage for h, n in zip(hits, batch.column(names.index("dc_n_words")).to_pylist())]
+        texts = [cut(t, x) if y else None for t, x, y in zip(batch.column(k).to_pylist(), spans, stay)]
+        return batch.set_column(k, text_col, pa.array(texts, batch.schema.field(k).type)).filter(pa.array(stay, pa.bool_()))
 
-    return run
+    return then
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, least_words: int = 10, max_coverage: float = 0.5, text_col: str = "text", count_col: str | None = "n_chars") -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, least_words: int = 10, max_coverage: float = 0.5, text_col: str = "text", count_col: str | None = "n_chars", max_words: int = 2_000_000) -> DataFrame:
     """``docs`` without hit spans of ``least_words`` or more, and without documents hit beyond ``max_coverage`` of their words.
 
     A shorter item that occurs whole counts as a hit; it is cut where it has
     ``least_words`` words.  ``count_col``, where the table has it, is set anew
     for texts that were cut.
     """
-    found = scan(docs, benchmark, window, text_col)
-    hit = F.aggregate("dc_spans", F.lit(0), lambda n, s: n + s[1] - s[0])
-    kept = found.where(hit <= F.col("dc_n_words") * max_coverage)
-    cut = kept.mapInArrow(_cutter(text_col, least_words), kept.schema)
+    cut = scan(docs, benchmark, window, text_col, max_words, _cutter(text_col, least_words, max_coverage))
     touched = F.exists("dc_spans", lambda s: s[1] - s[0] >= least_words)
     if count_col and count_col in docs.columns:
         kind = docs.schema[count_col].dataType
