@@ -36,7 +36,6 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from .common import Scratch, encoded, hashed_texts, mix, small, table
 from .components import connected_components
@@ -44,7 +43,7 @@ from .components import connected_components
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
 #: Members of a block: those that are held, and those that stream past them.
-LEFT, RIGHT = 256, 4096
+LEFT, RIGHT = 256, 1024
 _U64 = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 #: Universal hashes x -> (a x + b) >> 32 of 64-bit values, a odd.
