@@ -22,6 +22,7 @@ read, whatever their names.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +46,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(odd)}
 
 
+#: Runs of white space from this length on do not reach the splitting pattern, whose backtracking is bounded (a run of 1,000,000 overflows it).
+LONG_RUN = 100_000
+# Unicode's White_Space, which is \s in both encoders, but not in Python.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
 _ENCODERS: dict[str, Callable[[list[str]], list[list[int]]]] = {}
 
 
@@ -61,6 +67,8 @@ def make_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     The file's vocabulary is merged by tiktoken, which gives the same ids in a
     quarter of the time.  Whether it does is compared with ``tokenizers`` itself
     on the first texts of each worker, and any difference ends the task.
+    A long run of white space is one piece of the pattern, but for its last
+    character where more text follows; it is cut out and merged as such.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -76,8 +84,19 @@ def make_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     compare: list[Tokenizer] = [own]
 
+    def ids(text: str) -> list[int]:
+        if len(text) < LONG_RUN or not (runs := [m.span() for m in _LONG_RUN.finditer(text)]):
+            return fast.encode_ordinary(text)
+        out, done = [], 0
+        for first, past in runs:
+            past -= past < len(text)
+            out += fast.encode_ordinary(text[done:first])
+            out += fast._encode_single_piece(text[first:past])
+            done = past
+        return out + fast.encode_ordinary(text[done:])
+
     def encode(texts: list[str]) -> list[list[int]]:
-        out = [fast.encode_ordinary(t) for t in texts]
+        out = [ids(t) for t in texts]
         if compare and texts:
             slow = compare.pop()  # and with it its memory
             for t in texts[:8]:

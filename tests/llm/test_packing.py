@@ -69,6 +69,12 @@ def test_both_encoders_agree(spark, sf):
     assert packing.make_encoder(PATH)(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("text", ["x" + " " * 2_000_000 + "y", "\n " * 1_000_000, "a, " + "\u3000\xa0\n" * 700_000 + "!b" + " " * 150_000 + "'s \x1c" + "\r\n" * 60_000 + "１"], ids=["blanks", "to the end", "several"])
+def test_long_runs_of_white_space(text):
+    t = Tokenizer.from_file(PATH)
+    assert packing.make_encoder(PATH)([text]) == [t.encode(text, add_special_tokens=False).ids]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_level_minimises_the_sum_of_squares(seed):
     r = np.random.default_rng(seed)
