@@ -20,7 +20,7 @@ from siltstone.llm.common import Scratch, table
 #: Documents of a lower score are rejected.
 LEAST_QUALITY = 0.3
 #: Documents with more of their words in benchmark passages are dropped; of others the passages are cut.
-MOST_COVERED = 0.05
+MOST_COVERED = 0.5
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts what occurs of a benchmark item (ten words in a row, or a whole shorter item), and drops documents with much of it."""
+    """Cuts what occurs of a benchmark item (ten words in a row, or a whole shorter item), and drops documents that are mostly that."""
     return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"), window=10, least_words=1, max_coverage=MOST_COVERED)
 
 

@@ -27,3 +27,12 @@ def test_run(spark, sf):
     assert corpus_pipeline.ORACLE_SQL is None
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near-duplicates", "decontamination", "packing"]
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_a_passage_is_cut_and_the_rest_stays(spark, tmp_path):
+    passage = " ".join(f"b{k}" for k in range(12))
+    own = " ".join(f"w{k}" for k in range(60))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"{own} {passage} end"), (2, own), (3, f"{passage} end")], "doc_id long, text string")
+    left = {r[0]: r[1].split() for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()}
+    assert left == {1: [*own.split(), "end"], 2: own.split()}
