@@ -34,8 +34,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group that is tied by a similarity of 0.8 or more over five-word shingles."""
-    return minhash.drop_near_duplicates(docs, size=5, percent=80)
+    """Keeps the document of the least id of each group that is tied by a similarity of 0.8 or more over five-word shingles, once for each of its texts."""
+    return minhash.one_of_each_group(docs, size=5, percent=80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

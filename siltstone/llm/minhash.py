@@ -293,6 +293,48 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     return docs.join(gone, docs[id_col] == gone["nd_gone"], "left_anti")
 
 
+def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each text of the document that ``drop_near_duplicates`` keeps of a group.
+
+    Rows without an id take part: each of their texts gets an id beyond those of
+    the table while groups are made, so that they go where a document with an id
+    is in their group.  Of them those without a word, which have no group, stay.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash-groups")
+    number = _free_name(docs, "nd_number")
+    own = F.col(id_col).cast("long")
+    no_id, has_words = own.isNull(), F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    bare = scratch.save(docs.where(no_id & has_words).dropDuplicates([text_col]).withColumn(number, F.monotonically_increasing_id()), "no-id")
+    # The numbers made dense, from the largest id on: those of a part begin where the part before ends.
+    part = F.shiftright(number, 33)
+    base = docs.agg(F.max(own)).first()[0]
+    base = -1 if base is None else base
+    starts = []
+    for p, n in bare.groupBy(part.alias("p")).count().orderBy("p").collect():
+        starts.append((p, base + 1))
+        base += n
+    starts = docs.sparkSession.createDataFrame(starts, "nd_part long, nd_start long")
+    dense = F.col("nd_start") + F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+    bare = bare.join(F.broadcast(starts), part == F.col("nd_part")).withColumn(number, dense).drop("nd_part", "nd_start")
+
+    named = docs.where(~no_id)
+    every = named.select(own.alias("doc_id"), F.col(text_col).alias("text")).union(bare.select(number, text_col))
+    gone = scratch.save(near_duplicates(every, size, percent).where(~F.col("nd_kept")).select(F.col("doc_id").alias("nd_gone")).distinct(), "gone")
+    left = named.join(gone, own == F.col("nd_gone"), "left_anti")
+    # Only rows of repeated ids are compared by text.
+    repeated = scratch.save(named.groupBy(own.alias("nd_again")).count().where("count > 1").select("nd_again"), "repeated")
+    again = left.join(repeated, own == F.col("nd_again"), "left_semi").dropDuplicates([id_col, text_col])
+    once = left.join(repeated, own == F.col("nd_again"), "left_anti")
+    lone = bare.join(gone, F.col(number) == F.col("nd_gone"), "left_anti").drop(number)
+    return once.unionByName(again).unionByName(lone).unionByName(docs.where(no_id & ~has_words))
+
+
+def _free_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at two-word shingles."""
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)

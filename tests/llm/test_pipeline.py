@@ -36,3 +36,16 @@ def test_a_passage_is_cut_and_the_rest_stays(spark, tmp_path):
     docs = spark.createDataFrame([(1, f"{own} {passage} end"), (2, own), (3, f"{passage} end")], "doc_id long, text string")
     left = {r[0]: r[1].split() for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()}
     assert left == {1: [*own.split(), "end"], 2: own.split()}
+
+
+def test_repeated_rows_and_rows_without_an_id_leave_one_of_a_group(spark, sf):
+    near = " ".join(f"w{k}" for k in range(80))
+    rows = [(5, near), (5, near), (5, near + " end"), (9, near), (None, near + " more"), (None, "p q r s t u"), (None, "P q r s t u"), (None, "p q r s t u"), (7, "other text of this id"), (7, "other text of this id"), (7, "a second one"), (None, ""), (None, None), (8, ""), (8, ""), (3, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, nd_number string").repartition(3)
+    left = corpus_pipeline.deduplicate(spark, docs, sf)
+    assert left.columns == docs.columns
+    got = sorted(((r[0], (r[1] or "").lower() if r[0] is None else r[1]) for r in left.collect()), key=str)
+    assert got == sorted([(5, near), (5, near + " end"), (7, "other text of this id"), (7, "a second one"), (8, ""), (3, None), (None, ""), (None, ""), (None, "p q r s t u")], key=str)
+    none = docs.where("doc_id is null and text <> ''")
+    assert corpus_pipeline.deduplicate(spark, none, sf).count() == 2
+    assert corpus_pipeline.deduplicate(spark, docs.limit(0), sf).count() == 0
