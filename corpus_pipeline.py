@@ -40,7 +40,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts what occurs of a benchmark item (ten words in a row, or a whole shorter item), and drops documents that are mostly that."""
-    return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"), window=10, least_words=1, max_coverage=MOST_COVERED)
+    return decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark"), window=10, least_words=1, max_coverage=MOST_COVERED, nameless=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@ document costs one dictionary lookup a word.  Items beyond ``max_words`` words
 are taken in blocks, each with its own automaton of bounded size and its own
 pass over the documents; the broadcast never grows past that bound.
 
-Defined cases: a null text has no words and stays null; a null or empty item has
-no windows; repeated items and documents count as often as they occur, item ids
-as a set; with no items nothing is hit; an empty table gives no rows.  Columns
+Defined cases: a null text has no words and stays null; an item of a null or
+empty text has no windows; an item without an id has none either, unless
+``nameless`` is given: then it hits as any other and is left out of the ids
+alone; repeated items and documents count as often as they occur,
+item ids as a set; with no items nothing is hit; an empty table gives no rows.  Columns
 that the operator adds start with ``dc_`` and replace columns of that name.
 """
 
@@ -48,7 +50,7 @@ def words(text: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """Of several word sequences; each state knows the items that hold its sequences."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.known: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -88,7 +90,7 @@ class SuffixAutomaton:
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
-    def _label(self, coded: list[tuple[str, list[int]]]) -> None:
+    def _label(self, coded: list[tuple[str | None, list[int]]]) -> None:
         """For states of window length the items; for whole shorter items their length."""
         n = len(self.length)
         at: list[int] = [-1] * n  # the state on the suffix path that holds sequences of window length
@@ -101,15 +103,16 @@ class SuffixAutomaton:
         for name, seq in coded:
             if not seq:
                 continue
+            own = [] if name is None else [name]
             if len(seq) < self.window:
                 v = 0
                 for c in seq:
                     v = self.next[v][c]
-                self.short.setdefault(v, {}).setdefault(len(seq), set()).add(name)
+                self.short.setdefault(v, {}).setdefault(len(seq), set()).update(own)
                 continue
             for v, size, _ in self.walk(seq):
                 if size >= self.window:
-                    held.setdefault(at[v], set()).add(name)
+                    held.setdefault(at[v], set()).update(own)
         self.items = {v: sorted(names) for v, names in held.items()}
         below = [False] * n  # whether a suffix path meets a whole shorter item
         for v in sorted(range(1, n), key=self.length.__getitem__):
@@ -167,12 +170,12 @@ class SuffixAutomaton:
                 spans.append([first, past])
 
 
-def automata(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", max_words: int = 2_000_000) -> Iterator[SuffixAutomaton]:
-    """Automata over blocks of items with at most ``max_words`` words (or one longer item) each."""
+def automata(benchmark: DataFrame, window: int, id_col: str = "item_id", text_col: str = "text", max_words: int = 2_000_000, nameless: bool = False) -> Iterator[SuffixAutomaton]:
+    """Automata over blocks of items with at most ``max_words`` words (or one longer item) each; items without an id only where ``nameless``."""
     block, held = [], 0
     for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).toLocalIterator():
         seq = words((row[1] or "").encode())
-        if not seq or row[0] is None:
+        if not seq or (row[0] is None and not nameless):
             continue
         if block and held + len(seq) > max_words:
             yield SuffixAutomaton(block, window)
@@ -190,7 +193,7 @@ _ADDED = (("dc_n_words", T.LongType(), pa.int64()), ("dc_spans", _SPANS, pa.list
 Then = Callable[[pa.RecordBatch], pa.RecordBatch]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", max_words: int = 2_000_000, then: Then | None = None) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", max_words: int = 2_000_000, then: Then | None = None, nameless: bool = False) -> DataFrame:
     """``docs`` with dc_n_words, dc_spans (hit words, [first, past) each) and dc_items (ids as strings, sorted).
 
     ``then`` is applied to the batches of the last pass, in the same Python worker.
@@ -198,7 +201,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str
     spark = docs.sparkSession
     prepare(spark)
     out = docs.drop(*(c for c, _, _ in _ADDED))
-    blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, max_words=max_words)] or [spark.sparkContext.broadcast(SuffixAutomaton([], window))]
+    blocks = [spark.sparkContext.broadcast(a) for a in automata(benchmark, window, max_words=max_words, nameless=nameless)] or [spark.sparkContext.broadcast(SuffixAutomaton([], window))]
     for k, block in enumerate(blocks):
         out = out.mapInArrow(_scanner(block, text_col, k > 0, then if block is blocks[-1] else None), _with(out.schema))
     return out
@@ -268,14 +271,14 @@ def _cutter(text_col: str, least: int, max_coverage: float) -> Then:
     return then
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, least_words: int = 10, max_coverage: float = 0.5, text_col: str = "text", count_col: str | None = "n_chars", max_words: int = 2_000_000) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, least_words: int = 10, max_coverage: float = 0.5, text_col: str = "text", count_col: str | None = "n_chars", max_words: int = 2_000_000, nameless: bool = False) -> DataFrame:
     """``docs`` without hit spans of ``least_words`` or more, and without documents hit beyond ``max_coverage`` of their words.
 
     A shorter item that occurs whole counts as a hit; it is cut where it has
     ``least_words`` words.  ``count_col``, where the table has it, is set anew
     for texts that were cut.
     """
-    cut = scan(docs, benchmark, window, text_col, max_words, _cutter(text_col, least_words, max_coverage))
+    cut = scan(docs, benchmark, window, text_col, max_words, _cutter(text_col, least_words, max_coverage), nameless)
     touched = F.exists("dc_spans", lambda s: s[1] - s[0] >= least_words)
     if count_col and count_col in docs.columns:
         kind = docs.schema[count_col].dataType
@@ -286,7 +289,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = 10, least_
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of every benchmark window of ten words in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = scan(docs, table(spark, sf_dir, "benchmark"))
+    found = scan(docs, table(spark, sf_dir, "benchmark"), nameless=True)
     n_hit = F.aggregate("dc_spans", F.lit(0).cast("long"), lambda n, s: n + (s[1] - s[0]).cast("long"))
     return found.select(
         "doc_id",

@@ -91,3 +91,29 @@ def test_automaton_matches_the_longest():
 
     assert lengths == [longest(k) for k in range(len(text))]
     assert len(sam.length) <= 2 * 10
+
+
+@pytest.mark.parametrize("max_words", [10**6, 5])
+def test_items_without_an_id_hit_too(spark, max_words):
+    docs = [(1, "x a b c d e y"), (2, "x p q y"), (3, "f g h i"), (4, "none")]
+    items = [(None, "a b c d e"), (None, "p q"), (7, "f g h i"), (None, "g h i j")]
+    digest = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    want = [(1, 7, 5, 0, digest(""), True), (2, 4, 2, 0, digest(""), True), (3, 4, 4, 1, digest("7"), True), (4, 1, 0, 0, digest(""), False)]
+    assert got(spark, docs, items, window=3, max_words=max_words, nameless=True) == want
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    left = dc.remove_spans(texts, spark.createDataFrame(items, "item_id long, text string"), window=3, least_words=1, max_coverage=0.8, max_words=max_words, nameless=True)
+    assert {r[0]: r[1].split() for r in left.collect()} == {1: ["x", "y"], 2: ["x", "y"], 4: ["none"]}
+
+
+def test_op10_and_the_pipeline_take_items_without_an_id(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = " ".join(f"b{k}" for k in range(12))
+    own = " ".join(f"w{k}" for k in range(20))
+    spark.createDataFrame([(None, passage)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, f"{own} {passage}"), (2, own)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in dc.op10_decontamination(spark, str(tmp_path)).collect()}
+    assert found == {1: (12, 0, True), 2: (0, 0, False)}
+    left = corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()
+    assert {r[0]: r[1].split() for r in left} == {1: own.split(), 2: own.split()}
