@@ -8,8 +8,9 @@ is explicitly allowed.  An own rule is never overruled; without any, the verdict
 is allow.
 
 Edges come from the pages (``<link rel=canonical>``, ``<meta http-equiv=refresh>``)
-and, if given, from a table of redirects.  A node is a URL with scheme and host
-in lower case and no fragment.  Targets that are no pages count as members too.
+and, if given, from a table of redirects.  Targets are resolved by RFC 3986.  A
+node is a URL with scheme and host in lower case, no fragment and no dot segments
+in its path.  Targets that are no pages count as members too.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits
 no rule and has no aliases; null or empty html has no links; repeated pages are
@@ -31,6 +32,7 @@ MOST_RULES = 1000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 # Tags and their targets; the same patterns run in the SQL check.
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
@@ -49,7 +51,20 @@ def path_of(url: Column) -> Column:
 def node_of(url: Column) -> Column:
     """The URL as a node of the alias graph; null where it has no ``://``."""
     scheme = F.translate(F.regexp_extract(url, PARTS, 1), _UPPER, _LOWER)
-    return F.when(F.contains(url, F.lit("://")), F.concat(scheme, F.lit("://"), host_of(url), path_of(url), F.regexp_extract(url, PARTS, 4)))
+    return F.when(F.contains(url, F.lit("://")), F.concat(scheme, F.lit("://"), host_of(url), _undotted(path_of(url)), F.regexp_extract(url, PARTS, 4)))
+
+
+def _undotted(path: Column) -> Column:
+    """A path that is empty or begins with a slash, without ``.`` and ``..`` segments."""
+    parts = F.slice(F.split(path, "/"), 2, F.length(path))
+    # A dot segment at the end leaves its slash.
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(x))),
+    )
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
 
 
 def judged(host: Column, path: Column, rules: list[Rule]) -> Column:
@@ -72,14 +87,18 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     hrefs = F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1))
     moves = F.transform(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, TO, 1))
     links = pages.where(F.contains(url, F.lit("://")) & html.isNotNull()).select(node_of(url).alias("a"), url.alias("from_url"), F.explode(F.concat(hrefs, moves)).alias("raw"))
-    to = F.replace(F.col("raw"), F.lit("&amp;"), F.lit("&"))
+    to = F.regexp_replace(F.replace(F.col("raw"), F.lit("&amp;"), F.lit("&")), r"(?s)#.*$", "")
     scheme = F.regexp_extract("from_url", PARTS, 1)
     site = F.concat(scheme, F.lit("://"), F.regexp_extract("from_url", PARTS, 2))
-    folder = F.regexp_replace(F.regexp_extract("from_url", PARTS, 3), r"[^/]*$", "")
+    path = F.regexp_extract("from_url", PARTS, 3)
+    folder = F.regexp_replace(path, r"[^/]*$", "")
     whole = (
-        F.when(F.contains(to, F.lit("://")), to)
+        F.when(to.rlike(SCHEME + "//"), to)
+        .when(to.rlike(SCHEME), F.lit(None))  # mailto: and the like
         .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
         .when(to.startswith("/"), F.concat(site, to))
+        .when(to == "", F.concat(site, path, F.regexp_extract("from_url", PARTS, 4)))
+        .when(to.startswith("?"), F.concat(site, path, to))
         .otherwise(F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), to))
     )
     return links.where("raw <> ''").select("a", node_of(whole).alias("b"))

@@ -46,6 +46,21 @@ def test_blocks_reach_aliases_unless_one_is_allowed(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "allow", 9: "block", 10: "allow", 11: "block", 12: "allow"}
 
 
+def test_targets_are_resolved_as_urls_are(spark):
+    page = "http://a.com/b/c/d;p?q"
+    # RFC 3986, 5.4, and targets with a scheme only in their query.
+    want = {"g": "/b/c/g", "./g": "/b/c/g", "g/": "/b/c/g/", "/g": "/g", "?y": "/b/c/d;p?y", "g?y": "/b/c/g?y", "#s": "/b/c/d;p?q", ";x": "/b/c/;x", ".": "/b/c/", "./": "/b/c/", "..": "/b/", "../g": "/b/g", "../..": "/", "../../g": "/g", "../../../g": "/g", "/./g": "/g", "/../g": "/g", "g.": "/b/c/g.", "..g": "/b/c/..g", "./g/.": "/b/c/g/", "g/../h": "/b/c/h", "g;x=1/../y": "/b/c/y", "g?y/../x": "/b/c/g?y/../x", "/r?u=http://x": "/r?u=http://x", "r?u=http://x/../y": "/b/c/r?u=http://x/../y"}
+    want = {k: f"http://a.com{v}" for k, v in want.items()} | {"//G/../h": "http://g/h", "HTTPS://X.com/./y": "https://x.com/y", "mailto:m?u=http://x": None}
+    pages = spark.createDataFrame([(page, link(to)) for to in want], "url string, html string")
+    got = [tuple(r) for r in uf.alias_edges(pages).collect()]
+    assert sorted(got, key=str) == sorted(((page, b) for b in want.values()), key=str)
+
+
+def test_blocks_pass_along_relative_targets(spark):
+    rows = [(1, "http://a.com/x/1", link("?p=2")), (2, "http://a.com/x/1?p=2", link("http://bad.net/z")), (3, "http://b.com/x/y/3", link("../../4")), (4, "http://b.com/4", link("http://bad.net/z")), (5, "http://c.com/5", link("/r?u=http://x")), (6, "http://c.com/r?u=http://x", link("http://bad.net/z")), (7, "http://d.com/u/../7", None), (8, "http://d.com/8", link("http://d.com/u/../7")), (9, "http://d.com/7", link("http://bad.net/z"))]
+    assert {v for _, v in judged(spark, rows).values()} == {"block"}
+
+
 def test_sql_agrees_on_aliases(spark, tmp_path):
     import duckdb
 
