@@ -134,6 +134,15 @@ def test_windows_cases_and_aggregates():
     assert [by[k]["kind"] for k in ("day", "ab", "up")] == ["CAST", "COMPUTED", "FUNCTION"]
 
 
+def test_columns_of_a_derived_union_come_from_every_branch():
+    sql = "SELECT d.x, d.y FROM (SELECT a AS x, c AS y FROM t1 UNION ALL SELECT b, x FROM t2 UNION SELECT 1, e + f FROM t3) d"
+    got = columns(sql)
+    assert got[f"{R}.x"] == ["t1.a", "t2.b"] and got[f"{R}.y"] == ["t1.c", "t2.x", "t3.e", "t3.f"]
+    nested = "SELECT x FROM (SELECT x FROM (SELECT a AS x FROM t1 UNION ALL SELECT b FROM t2) i UNION ALL SELECT c FROM t3) o"
+    assert columns(nested)[f"{R}.x"] == ["t1.a", "t2.b", "t3.c"]
+    assert columns("SELECT d.x FROM (SELECT * FROM t1 UNION ALL SELECT * FROM t2) d")[f"{R}.x"] == ["t1.x", "t2.x"]
+
+
 def test_derived_tables_are_layers():
     sql = "CREATE TABLE x AS SELECT t1.c, t2.d FROM (SELECT a AS c FROM p) t1 FULL OUTER JOIN (SELECT * FROM q) t2 ON t1.c = t2.d"
     assert up(sql) == {"x": ["p", "q"]} and columns(sql)["x.c"] == ["p.a"]
