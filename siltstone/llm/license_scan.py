@@ -18,6 +18,8 @@ Columns that the operator adds start with ``ls_`` and replace those of that name
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -97,6 +99,11 @@ KNOWN: list[tuple[str, str]] = [
 ]
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """Known texts that are files of their own, by SPDX name; read on the driver."""
+    return [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
+
+
 def canonical(text: Column) -> Column:
     """The text's words in one spelling, a space between each two."""
     lines = F.regexp_replace(F.translate(text, _UPPER, _LOWER), COPYRIGHT_LINE, "")
@@ -123,7 +130,7 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, text_col: str
     """``docs`` with ls_digest and ls_license (null where no known text has the digest)."""
     spark = docs.sparkSession
     if known is None:
-        known = spark.createDataFrame(KNOWN, "name string, text string")
+        known = spark.createDataFrame([*KNOWN, *whole_texts()], "name string, text string")
     digests = known_digests(known)
     out = docs.drop("ls_digest", "ls_license", "ls_known", "ls_name").withColumn("ls_digest", digest(F.col(text_col)))
     if digests.limit(most_broadcast + 1).count() <= most_broadcast:

@@ -25,6 +25,13 @@ def test_each_known_text_is_found(spark):
     assert found(spark, [t for _, t in ls.KNOWN]) == [n for n, _ in ls.KNOWN]
 
 
+def test_whole_texts_are_found(spark):
+    whole = dict(ls.whole_texts())
+    assert {"Apache-2.0", "CC0-1.0", "Unlicense", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0"} <= set(whole)
+    assert found(spark, [t.replace("\n", "\n  ").upper() for t in whole.values()]) == list(whole)
+    assert found(spark, [t[: len(t) // 2] for t in whole.values()]) == [None] * len(whole)
+
+
 def test_long_lists_are_joined_by_shuffle(spark):
     assert found(spark, [MIT, "x", MIT], most_broadcast=2) == ["MIT", None, "MIT"]
 
