@@ -2,21 +2,26 @@
 
 A document's tokens (byte-level BPE ids, then an end id) come in one stream per
 partition.  Whole windows are cut off a long document; the rest, and every
-short document, is placed at once and for good: among the fill levels that
-still have room, and an empty window, it goes to the level that leaves the
-smallest sum of squared counts of partially filled windows.  The counts are a
-level array of ``window + 1`` entries, so memory and the time for one placement
-do not depend on how many documents came before.
-
-When a partition ends, the windows still open are levelled: the emptiest are
-taken apart and their tokens fill the fullest, so that one window of a
-partition at most is padded.  Nothing is shuffled; each scan partition packs on
-its own, and its number is the high part of its sequence ids.
-
-Defined cases: a null or empty text is the end id alone; equal documents and
-repeated doc_ids are packed as often as they occur; a null doc_id stays null; an
-empty table gives no rows.  Columns other than the id and the text are not
-read, whatever their names.
+short document, is placed among the fill levels that still have room, and an
+empty window: it goes to the level that leaves the smallest sum of squared
+counts of partially filled windows.  The counts are a level array of
+``window + 1`` entries, so the time for one placement does not depend on how
+many documents came before.
+
+At most ``most_open`` windows are open, whatever the lengths are: when one more
+would be, and when a partition ends, the open windows are levelled, which takes
+the emptiest apart and fills the fullest with their tokens, so that at most one
+is not full.  That one stays open; at the end of a partition it is cut into
+sequences of powers of two, which need no padding.  Nothing is shuffled; each
+scan partition packs on its own, and its number is the high part of its
+sequence ids.
+
+Defined cases: a null or empty text is the end id alone; a text of any length,
+with white-space runs of any length, is encoded whole; the strings of the
+vocabulary's special tokens become these tokens, as ``tokenizers`` has it;
+equal documents and repeated doc_ids are packed as often as they occur; a null
+doc_id stays null; an empty table gives no rows.  Columns other than the id and
+the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 #: Rows of one output batch.
 BATCH = 2048
+#: Windows that are open at once; with 1024 ids each they take 16 MB.
+MOST_OPEN = 4096
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -62,11 +69,14 @@ def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
 
 
 def make_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids of a ``tokenizers`` byte-level BPE file, without special tokens.
+    """Ids as ``tokenizers`` gives them for a byte-level BPE file by ``encode(text, add_special_tokens=False)``.
 
     The file's vocabulary is merged by tiktoken, which gives the same ids in a
     quarter of the time.  Whether it does is compared with ``tokenizers`` itself
     on the first texts of each worker, and any difference ends the task.
+    The text is cut at the strings of special tokens, each of which is its own id;
+    where a vocabulary has special tokens that also take what is around them, and
+    where the fast encoder gives up, ``tokenizers`` encodes the text.
     A long run of white space is one piece of the pattern, but for its last
     character where more text follows; it is cut out and merged as such.
     """
@@ -74,9 +84,11 @@ def make_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
-        special = {x["content"] for x in json.load(f).get("added_tokens", [])}
+        added = json.load(f).get("added_tokens", [])
+    special = {x["content"]: x["id"] for x in added}
+    plain = all(not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in added)
+    cuts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
     to_byte = byte_alphabet()
     ranks = {bytes(to_byte[c] for c in token): i for token, i in own.get_vocab().items() if token not in special}
     # The pattern that byte-level BPE files of this family split by.
@@ -84,7 +96,11 @@ def make_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     compare: list[Tokenizer] = [own]
 
-    def ids(text: str) -> list[int]:
+    def slow(text: str) -> list[int]:
+        return (compare[0] if compare else Tokenizer.from_file(path)).encode(text, add_special_tokens=False).ids
+
+    def between(text: str) -> list[int]:
+        """Ids of a text without special tokens."""
         if len(text) < LONG_RUN or not (runs := [m.span() for m in _LONG_RUN.finditer(text)]):
             return fast.encode_ordinary(text)
         out, done = [], 0
@@ -95,13 +111,24 @@ def make_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
             done = past
         return out + fast.encode_ordinary(text[done:])
 
+    def ids(text: str) -> list[int]:
+        parts = cuts.split(text) if cuts else [text]
+        try:
+            if len(parts) == 1:
+                return between(text)
+            if plain:
+                return [i for k, part in enumerate(parts) for i in ([special[part]] if k % 2 else between(part))]
+        except Exception as gave_up:  # noqa: BLE001  whatever the fast encoder can't do the slow one does
+            del gave_up
+        return slow(text)
+
     def encode(texts: list[str]) -> list[list[int]]:
         out = [ids(t) for t in texts]
         if compare and texts:
-            slow = compare.pop()  # and with it its memory
             for t in texts[:8]:
-                if slow.encode(t[:20_000], add_special_tokens=False).ids != fast.encode_ordinary(t[:20_000]):
+                if slow(t[:20_000]) != ids(t[:20_000]):
                     raise ValueError("the two encoders differ on this vocabulary")
+            compare.clear()  # and with it its memory
         return out
 
     return encode
@@ -140,13 +167,18 @@ class SumOfSquares:
         window.append(piece)
         if h + n == self.size:
             return window
-        self.open[h + n].append(window)
-        self.count[h + n] += 1
+        self._put(window, h + n)
         return None
 
-    def finish(self) -> Iterator[list]:
-        """The open windows, levelled: all but one are full.  A piece is [doc, start, ids, doc_tokens]."""
+    def _put(self, window: list, level: int) -> None:
+        self.open[level].append(window)
+        self.count[level] += 1
+
+    def level(self) -> Iterator[list]:
+        """The open windows, levelled: all are full but one, which stays open.  A piece is [doc, start, ids, doc_tokens]."""
         rest = [w for level in range(self.size, 0, -1) for w in self.open[level]]
+        self.count[:] = 0
+        self.open = [[] for _ in range(self.size + 1)]
         low = len(rest) - 1
         for high, window in enumerate(rest):
             if high > low:
@@ -163,10 +195,30 @@ class SumOfSquares:
                     room -= len(ids)
                 if not rest[low]:
                     low -= 1
-            yield window
+            if room:
+                self._put(window, self.size - room)
+            else:
+                yield window
 
-
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def finish(self) -> Iterator[list]:
+        """What is left at the end: full windows, and sequences of powers of two of the last."""
+        yield from self.level()
+        for level in np.flatnonzero(self.count).tolist():
+            for left in self.open[level]:
+                for size in (1 << k for k in range(level.bit_length() - 1, -1, -1) if level >> k & 1):
+                    part, room = [], size
+                    while room:
+                        doc, start, ids, total = left.pop(0)
+                        if len(ids) > room:
+                            left.insert(0, [doc, start + room, ids[room:], total])
+                        part.append([doc, start, ids[:room], total])
+                        room -= len(part[-1][2])
+                    yield part
+        self.count[:] = 0
+        self.open = [[] for _ in range(self.size + 1)]
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", most_open: int = MOST_OPEN) -> DataFrame:
     """Pieces of the packed windows: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +252,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, i
                         at += window
                     if at < n and (full := bins.place([doc, at, ids[at:].copy(), n], n - at)):
                         emit(full)
+                    if bins.count.sum() > most_open:
+                        for pieces in bins.level():
+                            emit(pieces)
                 if len(rows) >= BATCH:
                     yield flush()
         for pieces in bins.finish():
