@@ -6,11 +6,20 @@ with a plus.  A batch is summed to a row for each (source, lang, tokenizer) befo
 it is shuffled or written, so a hot source costs one row a task.
 
 The store is a folder.  A batch's sums are written under a name of that attempt,
-and committed by renaming a small marker file onto ``commits/<batch>.json``; the
-marker names the attempt's files.  Committing a batch again changes nothing, a
-writer that dies before the rename leaves nothing that readers see, and of two at
-once the one that renames first wins.  Totals are the sums over the newest
-snapshot and the batches committed after it; ``compact`` writes a new snapshot.
+and committed by a small marker file ``commits/<batch>.json`` that names the
+attempt's files.  The marker is written under a temporary name and put in place
+by one step that fails where there is a marker already (a hard link on a local
+file system, else a rename without overwriting, which HDFS does as one step):
+of two writers at once one wins, and the other is told so and removes its files.
+Committing a batch again changes nothing; ``commit(.., compare=True)`` raises
+BatchConflict where the repeated batch has other sums.  A writer that dies before
+the marker is there leaves nothing that readers see.
+
+Totals are the sums over the newest snapshot and the batches committed after it.
+``compact`` lists the commits once, sums exactly those, and names them in the
+snapshot's marker: a commit that lands meanwhile is not in the list, so it is
+read beside the snapshot.  Readers open the markers of the batches after the
+snapshot only; a name of each earlier one is kept, so that it stays committed.
 
 Defined cases: a null text counts as 0 tokens; null sources and languages are
 groups of their own; repeated rows are counted as often as they occur; groups
@@ -22,12 +31,14 @@ columns are not read, whatever their names.
 from __future__ import annotations
 
 import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyspark.sql.functions as F
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -71,6 +82,10 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
     return deleted(old).union(inserted(new))
 
 
+class BatchConflict(ValueError):
+    """A batch's name was used for other changes."""
+
+
 class Rollup:
     """Totals in a folder that all machines share."""
 
@@ -87,14 +102,39 @@ class Rollup:
         return sorted(f.getPath().getName() for f in self._fs.listStatus(at) if f.getPath().getName().endswith(".json"))
 
     def _mark(self, kind: str, name: str, content: dict) -> bool:
-        """Renames a marker into place; False where there is one of that name."""
+        """Puts a marker in place; False where another one has that name."""
         temporary, final = self._path(f"_{kind}-{uuid.uuid4().hex}"), self._path(kind, f"{name}.json")
         self._fs.mkdirs(self._path(kind))
         out = self._fs.create(temporary, True)
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
+        try:
+            placed = self._place(temporary, final)
+        finally:
             self._fs.delete(temporary, False)
+        # A step that was done although it seemed to fail put this very marker there.
+        return placed or self._read(kind, f"{name}.json") == content
+
+    def _place(self, temporary, final) -> bool:
+        """Gives a file its final name in one step, unless there is a file of that name."""
+        if self._fs.getUri().getScheme() == "file":
+            try:
+                os.link(temporary.toUri().getPath(), final.toUri().getPath())
+            except FileExistsError:
+                return False
+            return True
+        return self._renamed(temporary, final)
+
+    def _renamed(self, temporary, final) -> bool:
+        hadoop, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
+        rename = getattr(hadoop, "Options$Rename")
+        how = gateway.new_array(rename, 1)
+        how[0] = rename.NONE
+        try:
+            hadoop.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(temporary, final, how)
+        except Py4JJavaError as failed:
+            if "FileAlreadyExistsException" not in failed.java_exception.getClass().getName():
+                raise
             return False
         return True
 
@@ -108,33 +148,58 @@ class Rollup:
     def is_committed(self, batch: str) -> bool:
         return self._fs.exists(self._path("commits", f"{_name(batch)}.json"))
 
-    def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Adds a batch once; False, without reading ``changes``, if it was committed before."""
+    def commit(self, batch: str, changes: DataFrame, compare: bool = False) -> bool:
+        """Adds a batch once; False where it was committed before, by this writer or another.
+
+        With ``compare`` a batch that was committed with other sums is an error;
+        without it ``changes`` of a committed batch are not read.
+        """
         if self.is_committed(batch):
+            if compare:
+                self._same(batch, _summed(changes))
             return False
         data = f"data/{_name(batch)}-{uuid.uuid4().hex}"
         _summed(changes).write.parquet(f"{self.folder}/{data}")
-        return self._mark("commits", _name(batch), {"data": data})
-
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, documents, tokens over all committed batches."""
-        return _summed(self._committed()).where("documents <> 0 or tokens <> 0")
-
-    def _committed(self) -> DataFrame:
-        snapshots = self._marks("snapshots")
-        held = self._read("snapshots", snapshots[-1]) if snapshots else {"data": None, "commits": []}
-        marks = [m for m in self._marks("commits") if m not in set(held["commits"])]
-        paths = [p for p in (held["data"], *(self._read("commits", m)["data"] for m in marks)) if p]
+        if self._mark("commits", _name(batch), {"data": data}):
+            return True
+        if compare:
+            self._same(batch, self._sums([data]))
+        self._fs.delete(self._path(data), True)
+        return False
+
+    def _same(self, batch: str, sums: DataFrame) -> None:
+        held = self._sums([self._read("commits", f"{_name(batch)}.json")["data"]])
+        if sums.exceptAll(held).union(held.exceptAll(sums)).limit(1).count():
+            raise BatchConflict(f"batch {batch} was committed with other sums")
+
+    def _sums(self, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], _SUMS)
         return self.spark.read.schema(_SUMS).parquet(*(f"{self.folder}/{p}" for p in paths))
 
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, documents, tokens over all committed batches."""
+        return _summed(self._committed(self._marks("commits"))).where("documents <> 0 or tokens <> 0")
+
+    def _committed(self, commits: list[str]) -> DataFrame:
+        """Sums of these commits; those that a snapshot holds are read from it."""
+        held: dict = {"data": None, "commits": []}
+        for mark in reversed(self._marks("snapshots")):
+            held = self._read("snapshots", mark)
+            if set(held["commits"]) <= set(commits):
+                break
+            held = {"data": None, "commits": []}  # newer than the list
+        inside = set(held["commits"])
+        after = [self._read("commits", m)["data"] for m in commits if m not in inside]
+        return self._sums([p for p in (held["data"], *after) if p])
+
     def compact(self) -> None:
         """Writes the totals so far as a snapshot, so that later reads start from it."""
         commits, number = self._marks("commits"), len(self._marks("snapshots"))
         data = f"data/snapshot-{uuid.uuid4().hex}"
-        _summed(self._committed()).write.parquet(f"{self.folder}/{data}")
-        self._mark("snapshots", f"{number:09d}", {"data": data, "commits": commits})
+        _summed(self._committed(commits)).write.parquet(f"{self.folder}/{data}")
+        if not self._mark("snapshots", f"{number:09d}", {"data": data, "commits": commits}):
+            self._fs.delete(self._path(data), True)  # another compaction came first
 
 
 def _name(batch: str) -> str:

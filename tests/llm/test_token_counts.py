@@ -16,7 +16,6 @@ def totals(store):
 
 def test_all_documents(spark, sf):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = {}
     for source, lang, text in spark.read.parquet(f"{sf}/documents.parquet").select("source", "lang", "text").collect():
         n = len(text.encode().split())
@@ -72,3 +71,59 @@ def test_odd_texts(spark):
     assert [r["tokens"] > 0 for r in tc.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), "b").collect()] == [False, False, True]
     with pytest.raises(ValueError):
         tc._name("a/b")
+
+
+def test_a_commit_during_compaction_counts_once(spark, store, monkeypatch):
+    a = spark.createDataFrame([("s", "en", "v", 5)], CHANGES)
+    store.commit("one", tc.inserted(a))
+    summed = tc._summed
+
+    def commits_meanwhile(changes):
+        with monkeypatch.context() as m:
+            m.setattr(tc, "_summed", summed)
+            store.commit("two", tc.inserted(a))
+        return summed(changes)
+
+    with monkeypatch.context() as m:
+        m.setattr(tc, "_summed", commits_meanwhile)
+        store.compact()
+    assert totals(store) == [("s", "en", "v", 2, 10)]
+    store.compact()
+    assert totals(store) == [("s", "en", "v", 2, 10)]
+
+
+@pytest.mark.parametrize("way", ["link", "rename"])
+def test_of_two_writers_one_wins(spark, store, monkeypatch, way):
+    if way == "rename":
+        monkeypatch.setattr(store, "_place", store._renamed)
+    a, b = (spark.createDataFrame([("s", "en", "v", n)], CHANGES) for n in (5, 7))
+    other = tc.Rollup(spark, store.folder)
+    mark = store._mark
+
+    def late(*x):
+        assert other.commit("one", tc.inserted(b))
+        return mark(*x)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_mark", late)
+        assert not store.commit("one", tc.inserted(a))
+    assert totals(store) == [("s", "en", "v", 1, 7)]
+    assert not store.commit("one", tc.inserted(a)) and not store.commit("one", tc.inserted(b), compare=True)
+    with pytest.raises(tc.BatchConflict):
+        store.commit("one", tc.inserted(a), compare=True)
+
+
+def test_two_compactions_at_once(spark, store, monkeypatch):
+    a = spark.createDataFrame([("s", "en", "v", 5)], CHANGES)
+    store.commit("one", tc.inserted(a))
+    other, mark = tc.Rollup(spark, store.folder), store._mark
+
+    def late(*x):
+        store._mark = mark
+        other.commit("two", tc.inserted(a))
+        other.compact()
+        return mark(*x)
+
+    store._mark = late
+    store.compact()
+    assert totals(store) == [("s", "en", "v", 2, 10)]
