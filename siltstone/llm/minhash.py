@@ -11,11 +11,16 @@ verification, and connected components by alternating large-star and small-star.
    set sizes are compared, and what may reach the threshold is confirmed on the full
    sets.  The confirmed links' components follow.
 4. A bucket whose members are in one component is done.  In the others each member
-   outside the bucket's largest component is compared with all members, in blocks of
-   about LEFT such members against RIGHT members, again by signature, then full set;
-   a block streams its members past the few, and returns the links of a spanning
-   forest alone.  Buckets of the same members are taken once.  There is no cap: every
-   pair that shares a bucket is either compared or known to be in one component.
+   outside the bucket's largest component is compared with all members of other
+   components, in blocks of about LEFT such members against RIGHT members.  A row of
+   a block is a document's size and a longer signature of 512 minima, never its set;
+   buckets of the same members are taken once.  Pairs that may reach the threshold
+   are confirmed on the full sets, which are joined to pairs alone.
+5. Blocks are run up to three times.  At first each member names its two likeliest
+   partners, then sixteen; what is confirmed ties components together, and buckets in
+   which some member had more partners than it named are run again with what is not
+   in one component yet.  The last run names all of them.  There is no cap: every pair
+   that shares a bucket is either compared or known to be in one component.
 
 Sets below ``least`` shingles can only be linked to equal sets, and are left out
 of the banding.
@@ -23,13 +28,15 @@ of the banding.
 Defined cases: null and empty texts, and those without words, have an empty set and
 are linked with nothing; a text with fewer words than a shingle has its whole
 sequence as one; rows that repeat a doc_id are one document, and share its
-component; a row without a doc_id is kept, with a null component; an empty table
-gives no rows.  Columns the operator adds start with ``nd_`` and replace those of
+component; a row without a doc_id is kept, with a null component; a very long text
+is hashed in pieces that end at separators, and its whole set is compared; an empty
+table gives no rows.  Columns the operator adds start with ``nd_`` and replace those of
 that name.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +49,17 @@ from .components import connected_components
 
 HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
+#: Minima of the longer signatures, of which the first are those of the bands.
+LONG = 512
 #: Members of a block: those that are held, and those that stream past them.
-LEFT, RIGHT = 256, 1024
+LEFT, RIGHT = 512, 2048
+#: Partners that a member of a block names, run by run; None: all.
+NAMED = (2, 16, None)
 _U64 = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 #: Universal hashes x -> (a x + b) >> 32 of 64-bit values, a odd.
-_A = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64) * _U64(2) + _U64(1)
-_B = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64)
+_A = _RANDOM.integers(0, 2**63, LONG, dtype=np.uint64) * _U64(2) + _U64(1)
+_B = _RANDOM.integers(0, 2**63, LONG, dtype=np.uint64)
 #: Agreeing minima (of 8 bits) that a pair at the threshold t falls below once in 10**8: mean less 5.7 deviations.
 DEVIATIONS = 5.7
 
@@ -76,11 +87,12 @@ def shingle_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """128 minima of 32 bits; ``shingles`` is not empty."""
-    out = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
-    for k in range(0, len(shingles), 2048):  # a block of 2 MB
-        part = (shingles[k : k + 2048, None] * _A + _B) >> _U64(32)
+def minima(shingles: np.ndarray, count: int = HASHES) -> np.ndarray:
+    """The first ``count`` minima, of 32 bits; ``shingles`` is not empty."""
+    out = np.full(count, np.iinfo(np.uint32).max, np.uint32)
+    step = 2048 * HASHES // count
+    for k in range(0, len(shingles), step):  # a block of 2 MB
+        part = (shingles[k : k + step, None] * _A[:count] + _B[:count]) >> _U64(32)
         np.minimum(out, part.min(0).astype(np.uint32), out=out)
     return out
 
@@ -116,23 +128,23 @@ def sketches(docs: DataFrame, size: int, least: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>, signature binary")
 
 
-def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node, n, signature, shingles of texts that have any."""
-    kinds = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("signature", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+def full_sets(docs: DataFrame, size: int, signed: bool = False) -> DataFrame:
+    """node, n, shingles of texts that have any, and where ``signed`` the long signature."""
+    kinds = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.list_(pa.int64())), *([("signature", pa.binary())] if signed else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            rows = [(d, len(s), minima(s).astype(np.uint8).tobytes(), s.view(np.int64)) for d, s in zip(batch.column(0).to_pylist(), shingle_sets(encoded(batch.column(1)), size)) if len(s)]
+            rows = [(d, len(s), s.view(np.int64), *([minima(s, LONG).astype(np.uint8).tobytes()] if signed else [])) for d, s in zip(batch.column(0).to_pylist(), shingle_sets(encoded(batch.column(1)), size)) if len(s)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
 
-    return docs.mapInArrow(run, "node long, n long, signature binary, shingles array<long>")
+    return docs.mapInArrow(run, "node long, n long, shingles array<long>" + (", signature binary" if signed else ""))
 
 
-def _agreements(percent: int) -> int:
-    """Agreeing minima below which a pair at the threshold hardly ever falls."""
+def _agreements(percent: int, count: int = HASHES) -> int:
+    """Agreeing minima of ``count`` below which a pair at the threshold hardly ever falls."""
     t = percent / 100
-    return int(HASHES * t - DEVIATIONS * (HASHES * t * (1 - t)) ** 0.5)
+    return int(count * t - DEVIATIONS * (count * t * (1 - t)) ** 0.5)
 
 
 def components(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int = 80) -> DataFrame:
@@ -159,26 +171,40 @@ def components(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     star = scratch.save(inside.where("node <> leader").select(F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")).distinct(), "star")
     likely = scratch.save(_likely(star, signed, percent), "likely")
     scratch.drop(star)
-    # The texts of documents in shared buckets are read once more, for their sets.
-    wanted = inside.where("m > 2").select("node").union(likely.select("a")).union(likely.select("b")).distinct()
-    sets = scratch.save(full_sets(docs.join(scratch.save(wanted, "wanted"), F.col("doc_id") == F.col("node"), "left_semi"), size), "sets")
+    # The texts of likely pairs are read once more, for their sets.
+    of_nodes = lambda nodes, name: docs.join(scratch.save(nodes.distinct(), name), F.col("doc_id") == F.col("node"), "left_semi")
+    sets = scratch.save(full_sets(of_nodes(likely.select(F.explode(F.array("a", "b")).alias("node")), "wanted"), size), "sets")
     # A document with several texts ties their classes together.
     named_class = named.select("doc_id", "k1", "k2").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select("doc_id", "rep")
     of_doc = scratch.save(named_class.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select(F.col("doc_id").alias("several")), "several")
     ties = named_class.join(of_doc, F.col("doc_id") == F.col("several"), "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = scratch.save(_confirmed(likely, sets, percent).union(ties).distinct(), "links")
     found = scratch.save(connected_components(links, scratch), "found")
+    scratch.drop(likely, sets)
 
     # Buckets of three or more members that are not all in one component.
-    placed = scratch.save(inside.where("m > 2").join(found, "node", "left").select("bucket", "node", "m", F.coalesce("component", "node").alias("component")), "placed")
-    sizes = scratch.save(placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("of"), F.min("node").alias("first"), F.max("node").alias("last")), "sizes")
-    largest = F.max(F.struct("n", "component"))
-    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.bit_xor("of").alias("of"), F.min("first").alias("first"), F.max("last").alias("last"), largest["component"].alias("main"), largest["n"].alias("most")).where("m > most")
-    once = mixed.groupBy("m", "of", "first", "last").agg(F.min(F.struct("bucket", "main", "most")).alias("x")).select("x.bucket", "x.main", F.ceil((F.col("m") - F.col("x.most")) / LEFT).alias("lefts"), F.ceil(F.col("m") / RIGHT).alias("rights"))
-    rest = scratch.save(placed.join(scratch.save(once, "mixed"), "bucket").select("bucket", "node", "component", (F.col("component") != F.col("main")).alias("few"), "lefts", "rights"), "rest")
-    more = scratch.save(_blocks(rest, sets, percent), "more")
-    scratch.drop(inside, likely, placed, sizes, rest, sets)
-    labels = scratch.save(connected_components(links.select("a", "b").union(more), scratch), "labels")
+    placed = scratch.save(inside.where("m > 2").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
+    scratch.drop(inside)
+    labels, sets = found, None
+    for most in NAMED:
+        rest = scratch.save(_mixed(placed, scratch), "rest")
+        if rest.isEmpty():
+            break
+        if sets is None:
+            sets = scratch.save(full_sets(of_nodes(rest.select("node"), "mixed-nodes"), size, signed=True), "signed-sets")
+        near = scratch.save(_blocks(rest, sets.select("node", "n", "signature"), percent, most), "near")
+        more = scratch.save(_confirmed(near.select("a", "b", "ca", "cb").distinct(), sets, percent), "more")
+        links = links.union(more.select("a", "b"))
+        if most is None or near.where("more").isEmpty():
+            break
+        again = near.where("more").select("bucket").distinct()
+        merged = connected_components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+        left = placed.join(again, "bucket", "left_semi").join(scratch.save(merged, "merged"), "component", "left")
+        last, placed = placed, scratch.save(left.select("bucket", "node", F.coalesce("whole", "component").alias("component")), "placed")
+        scratch.drop(rest, near, last)
+    if sets is not None:
+        labels = scratch.save(connected_components(links, scratch), "labels")
+        scratch.drop(sets)
 
     mine = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     of_class = scratch.save(mine, "of-class")
@@ -202,80 +228,116 @@ def _likely(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
+    """Pairs (with their other columns) whose full sets reach the threshold."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select(*pairs.columns)
 
 
-def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links of spanning forests of the blocks of ``rest(bucket, node, component, few, lefts, rights)``.
+def _mixed(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """bucket, node, component, few, lefts, rights: members of buckets that are not all in one component; ``few`` is outside the largest."""
+    sizes = scratch.save(placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("of"), F.min("node").alias("first"), F.max("node").alias("last")), "sizes")
+    largest = F.max(F.struct("n", "component"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.bit_xor("of").alias("of"), F.min("first").alias("first"), F.max("last").alias("last"), largest["component"].alias("main"), largest["n"].alias("most")).where("m > most")
+    once = mixed.groupBy("m", "of", "first", "last").agg(F.min(F.struct("bucket", "main", "most")).alias("x")).select("x.bucket", "x.main", F.ceil((F.col("m") - F.col("x.most")) / LEFT).alias("lefts"), F.ceil(F.col("m") / RIGHT).alias("rights"))
+    return placed.join(scratch.save(once, "mixed"), "bucket").select("bucket", "node", "component", (F.col("component") != F.col("main")).alias("few"), "lefts", "rights")
+
+
+class _Block:
+    """Held members of a bucket, and for each the likeliest partners of those that passed (all, where ``most`` is None)."""
+
+    def __init__(self, bucket: int, percent: int, most: int | None):
+        self.bucket, self.percent, self.most = bucket, percent, most
+        self.enough = _agreements(percent), _agreements(percent, LONG)
+        self.rows: list[tuple] = []
+        self.out: list[tuple] = []  # all partners, or
+        self.best: list[list[tuple]] = []  # heaps of the likeliest
+        self.ready = False
+
+    def hold(self, *row) -> None:
+        self.rows.append(row)
+
+    def _start(self) -> None:
+        self.ready = True
+        nodes, components, few, sizes, signs = zip(*self.rows) if self.rows else ((), (), (), (), ())
+        self.nodes, self.components, self.sizes = (np.array(x, np.int64) for x in (nodes, components, sizes))
+        self.signs = np.frombuffer(b"".join(signs), np.uint8).reshape(-1, LONG)
+        self.heads = np.ascontiguousarray(self.signs[:, :HASHES])
+        self.seen = np.zeros(len(nodes), np.int64)
+        self.least = np.full(len(nodes), -1, np.int64)  # agreements that a further partner must pass
+        self.best = [[] for _ in nodes]
+
+    def meet(self, node: int, component: int, few: bool, size: int, sign: bytes) -> None:
+        if not self.ready:
+            self._start()
+        other = (self.components != component) & (100 * np.minimum(self.sizes, size) >= self.percent * np.maximum(self.sizes, size))
+        if few:  # both sides are held somewhere; one of them compares
+            other &= self.nodes < node
+        at = np.flatnonzero(other)
+        own = np.frombuffer(sign, np.uint8)
+        at = at[(self.heads[at] == own[:HASHES]).sum(1) >= self.enough[0]]
+        if not len(at):
+            return
+        agree = (self.signs[at] == own).sum(1)
+        ok = agree >= self.enough[1]
+        at, agree = at[ok], agree[ok]
+        if self.most is None:
+            self.out += [(self.bucket, a, ca, node, component, False) for a, ca in zip(self.nodes[at].tolist(), self.components[at].tolist())]
+            return
+        self.seen[at] += 1
+        better = agree > self.least[at]
+        for k, n in zip(at[better].tolist(), agree[better].tolist()):
+            heap = self.best[k]
+            heapq.heappush(heap, (n, node, component))
+            if len(heap) > self.most:
+                heapq.heappop(heap)
+            if len(heap) == self.most:
+                self.least[k] = heap[0][0]
+
+    def finish(self) -> list[tuple]:
+        for k, heap in enumerate(self.best):
+            more = self.most is not None and bool(self.seen[k] > self.most)
+            self.out += [(self.bucket, int(self.nodes[k]), int(self.components[k]), node, component, more) for _, node, component in sorted(heap)]
+        self.best = []
+        return self.out
+
+
+def _blocks(rest: DataFrame, signed: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """bucket, a, ca, b, cb, more: pairs of different components (ca, cb) that may reach the threshold.
 
     The few members outside a bucket's largest component are dealt over its
     ``lefts``, all its members over its ``rights``; each left meets each right.
+    ``more`` says that a had more such partners in the block than it names.
     """
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    held = rest.where("few").withColumn("y", F.explode(upto("rights"))).select("bucket", own("lefts").alias("x"), "y", F.lit(0).alias("part"), "node", "component")
-    passing = rest.withColumn("x", F.explode(upto("lefts"))).select("bucket", "x", own("rights").alias("y"), F.lit(1).alias("part"), "node", "component")
-    full = held.union(passing).join(sets, "node")
-    near = full.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "part", "node")
-    enough = _agreements(percent)
-
-    class Block:
-        def __init__(self):
-            self.of: dict[int, int] = {}
-            self.nodes, self.components, self.sizes, self.signs, self.sets = [], [], [], [], []
-            self.links: list[tuple[int, int]] = []
-            self.matrix = None
-
-        def root(self, c: int) -> int:
-            of = self.of
-            of.setdefault(c, c)
-            while of[c] != c:
-                of[c] = of[of[c]]
-                c = of[c]
-            return c
-
-        def hold(self, node: int, component: int, size: int, sign: bytes, shingles: np.ndarray) -> None:
-            for to, x in ((self.nodes, node), (self.components, component), (self.sizes, size), (self.signs, sign), (self.sets, shingles.copy())):
-                to.append(x)
-
-        def meet(self, node: int, component: int, size: int, sign: bytes, shingles: np.ndarray) -> None:
-            if self.matrix is None:
-                self.matrix = np.frombuffer(b"".join(self.signs), np.uint8).reshape(-1, HASHES)
-                self.sizes = np.array(self.sizes)
-            ok = (self.matrix == np.frombuffer(sign, np.uint8)).sum(1) >= enough
-            ok &= 100 * np.minimum(self.sizes, size) >= percent * np.maximum(self.sizes, size)
-            for k in np.flatnonzero(ok):
-                p, q = self.root(self.components[k]), self.root(component)
-                if p == q:
-                    continue
-                common = len(np.intersect1d(self.sets[k], shingles, assume_unique=True))
-                if 100 * common >= percent * (len(self.sets[k]) + len(shingles) - common):
-                    self.of[max(p, q)] = min(p, q)
-                    self.links.append((self.nodes[k], node))
+    held = rest.where("few").withColumn("y", F.explode(upto("rights"))).select("bucket", own("lefts").alias("x"), "y", F.lit(0).alias("part"), "node", "component", "few")
+    passing = rest.withColumn("x", F.explode(upto("lefts"))).select("bucket", "x", own("rights").alias("y"), F.lit(1).alias("part"), "node", "component", "few")
+    near = held.union(passing).join(signed, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "part", "node")
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    names = ["bucket", "a", "ca", "b", "cb", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block = None, Block()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in block.links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+        key, block = None, None
         for batch in small(batches):
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            parts, *cols = (batch.column(k).to_pylist() for k in (3, 4, 5, 6, 7))
-            shingles = batch.column(8)
+            parts, *cols = (batch.column(k).to_pylist() for k in range(3, 9))
             for k, own_key in enumerate(keys):
                 if own_key != key:
-                    if block.links:
-                        yield out()
-                    key, block = own_key, Block()
-                (block.meet if parts[k] else block.hold)(*(c[k] for c in cols), shingles[k].values.to_numpy())
-        if block.links:
-            yield out()
+                    if block and (rows := block.finish()):
+                        yield batch_of(rows)
+                    key, block = own_key, _Block(own_key[0], percent, most)
+                (block.meet if parts[k] else block.hold)(*(c[k] for c in cols))
+                if len(block.out) > 50_000:
+                    yield batch_of(block.out)
+                    block.out = []
+        if block and (rows := block.finish()):
+            yield batch_of(rows)
 
-    return near.select("bucket", "x", "y", "part", "node", "component", "n", "signature", "shingles").mapInArrow(run, "a long, b long").distinct()
+    return near.select("bucket", "x", "y", "part", "node", "component", "few", "n", "signature").mapInArrow(run, "bucket long, a long, ca long, b long, cb long, more boolean")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,8 +351,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without documents that are linked to one of a lesser id; rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "minhash-drop")
-    gone = scratch.save(near_duplicates(docs, size, percent, id_col, text_col).where(~F.col("nd_kept")).select(F.col("doc_id").alias("nd_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["nd_gone"], "left_anti")
+    lost = _free_name(docs, "nd_gone")
+    gone = scratch.save(near_duplicates(docs, size, percent, id_col, text_col).where(~F.col("nd_kept")).select(F.col("doc_id").alias(lost)).distinct(), "gone")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(lost), "left_anti")
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,7 +364,7 @@ def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     is in their group.  Of them those without a word, which have no group, stay.
     """
     scratch = Scratch(docs.sparkSession, "minhash-groups")
-    number = _free_name(docs, "nd_number")
+    number, lost, repeats, first, start = (_free_name(docs, n) for n in ("nd_number", "nd_gone", "nd_again", "nd_part", "nd_start"))
     own = F.col(id_col).cast("long")
     no_id, has_words = own.isNull(), F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     bare = scratch.save(docs.where(no_id & has_words).dropDuplicates([text_col]).withColumn(number, F.monotonically_increasing_id()), "no-id")
@@ -313,19 +376,19 @@ def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     for p, n in bare.groupBy(part.alias("p")).count().orderBy("p").collect():
         starts.append((p, base + 1))
         base += n
-    starts = docs.sparkSession.createDataFrame(starts, "nd_part long, nd_start long")
-    dense = F.col("nd_start") + F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
-    bare = bare.join(F.broadcast(starts), part == F.col("nd_part")).withColumn(number, dense).drop("nd_part", "nd_start")
+    starts = docs.sparkSession.createDataFrame(starts, f"{first} long, {start} long")
+    dense = F.col(start) + F.col(number).bitwiseAND(F.lit((1 << 33) - 1))
+    bare = bare.join(F.broadcast(starts), part == F.col(first)).withColumn(number, dense).drop(first, start)
 
     named = docs.where(~no_id)
     every = named.select(own.alias("doc_id"), F.col(text_col).alias("text")).union(bare.select(number, text_col))
-    gone = scratch.save(near_duplicates(every, size, percent).where(~F.col("nd_kept")).select(F.col("doc_id").alias("nd_gone")).distinct(), "gone")
-    left = named.join(gone, own == F.col("nd_gone"), "left_anti")
+    gone = scratch.save(near_duplicates(every, size, percent).where(~F.col("nd_kept")).select(F.col("doc_id").alias(lost)).distinct(), "gone")
+    left = named.join(gone, own == F.col(lost), "left_anti")
     # Only rows of repeated ids are compared by text.
-    repeated = scratch.save(named.groupBy(own.alias("nd_again")).count().where("count > 1").select("nd_again"), "repeated")
-    again = left.join(repeated, own == F.col("nd_again"), "left_semi").dropDuplicates([id_col, text_col])
-    once = left.join(repeated, own == F.col("nd_again"), "left_anti")
-    lone = bare.join(gone, F.col(number) == F.col("nd_gone"), "left_anti").drop(number)
+    repeated = scratch.save(named.groupBy(own.alias(repeats)).count().where("count > 1").select(repeats), "repeated")
+    again = left.join(repeated, own == F.col(repeats), "left_semi").dropDuplicates([id_col, text_col])
+    once = left.join(repeated, own == F.col(repeats), "left_anti")
+    lone = bare.join(gone, F.col(number) == F.col(lost), "left_anti").drop(number)
     return once.unionByName(again).unionByName(lone).unionByName(docs.where(no_id & ~has_words))
 
 

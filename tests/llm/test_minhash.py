@@ -40,10 +40,12 @@ def test_all_documents(spark, sf, size):
     assert got == brute([tuple(r) for r in docs.collect()], size)
 
 
-def test_groups_in_blocks(spark, monkeypatch):
-    """Many near copies whose links do not all go to one leader, over several blocks."""
+@pytest.mark.parametrize("named", [(1, 2, None), (None,)])
+def test_groups_in_blocks(spark, monkeypatch, named):
+    """Many near copies whose links do not all go to one leader, over several blocks and runs."""
     monkeypatch.setattr(minhash, "LEFT", 4)
     monkeypatch.setattr(minhash, "RIGHT", 8)
+    monkeypatch.setattr(minhash, "NAMED", named)
     r = random.Random(5)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -57,6 +59,32 @@ def test_groups_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(docs, 2).collect())) == brute(rows, 2)
 
 
+def boilerplate(n, seed=1):
+    """Texts that share half of their words, and a few links."""
+    r = random.Random(seed)
+    base = [f"b{k}" for k in range(80)]
+    rows = [(d, " ".join([*base, *(f"d{d}w{k}" for k in range(40))])) for d in range(n)]
+    for d in range(0, n, 50):
+        words = rows[d][1].split()
+        words[r.randrange(80, 120)] = "other"
+        rows[d + 7] = (d + 7, " ".join(words))
+    return rows
+
+
+def test_boilerplate_ships_no_sets_but_those_of_links(spark, monkeypatch):
+    rows, shipped, confirmed = boilerplate(600), [], minhash._confirmed
+
+    def counting(pairs, sets, percent):
+        shipped.append(pairs.count())
+        return confirmed(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_confirmed", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r[0]: r[1] for r in minhash.near_duplicates(docs, 2).select("doc_id", "nd_component").collect()}
+    assert got == {d: d - 7 if d % 50 == 7 else d for d in range(600)}
+    assert sum(shipped) < 1200
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "ONE"), (6, "one two"), (7, "a b c d e"), (8, "a b c d e f"), (9, "x " * 60_000), (10, "x " * 60_000 + "y"), (11, "a\x0bb\x85c d")]
     docs = spark.createDataFrame([(*r, "z", True) for r in [*rows, (None, "one")]], "doc_id long, text string, component string, nd_kept boolean")
