@@ -14,7 +14,7 @@ from .dialects import parse_any
 from .logs import timed
 from .providers import MetadataProvider, Registry
 from .syntax import SqlSyntaxError
-from .validation import chain_error, path_error, sql_error
+from .validation import chain_error, checked_dialect, path_error, sql_error
 
 log = logging.getLogger("siltstone.lineage")
 
@@ -53,11 +53,11 @@ class LineageAnalyzer:
     """``dialect`` and ``mode`` (of canonical names) hold for every call; a text in another dialect is recognised for that text alone."""
 
     def __init__(self, dialect: str = "trino", mode: str = "full", registry: Registry | None = None):
-        self.dialect, self.mode, self.registry = dialect, mode, registry or Registry()
+        self.dialect, self.mode, self.registry = checked_dialect(dialect), mode, registry or Registry()
         self._corrected: tuple[str, str] | None = None
 
     def set_dialect(self, dialect: str) -> None:
-        self.dialect = dialect
+        self.dialect = checked_dialect(dialect)
 
     def set_metadata_registry(self, registry: Registry) -> None:
         self.registry = registry

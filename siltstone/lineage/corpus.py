@@ -18,9 +18,10 @@ from siltstone.sources.session import ship
 
 from .dialects import parse_any
 from .extract import CircularDependencyError, extract
-from .naming import clean
+from .fallback import Scan
+from .naming import QUERY_RESULT, clean
 from .syntax import SqlSyntaxError
-from .validation import sql_error
+from .validation import checked_dialect, sql_error
 
 _TEXT, _TEXTS = pa.string(), pa.list_(pa.string())
 _CONDITION = pa.struct([("column", _TEXT), ("operator", _TEXT), ("value", _TEXT), ("values", _TEXTS), ("owner", _TEXT)])
@@ -64,7 +65,11 @@ def parsed_row(stmt_id: int | None, sql: str | None, dialect: str = "trino", mod
     except CircularDependencyError as e:
         return row | {"errors": [str(e)]}
     except (SqlSyntaxError, RecursionError) as e:
-        return row | {"errors": [f"Failed to parse SQL: {e}"]}
+        scan = Scan(sql, dialect)
+        edges = [{"target": t, "source": s} for t, s in scan.edges()]
+        names = dict.fromkeys(x for t in edges for x in (t["target"], t["source"]))
+        entities = [{"name": n, "type": "query_result" if n == QUERY_RESULT else "table"} for n in names]
+        return row | {"errors": [f"Failed to parse SQL: {e}"], "target": scan.target if edges else None, "table_edges": edges, "entities": entities, "warnings": ["tables were found by a scan of the words"] if edges else []}
     warnings = list(dict.fromkeys(found.warnings)) + ([f"dialect {dialect} was corrected to {used}"] if used != dialect else []) + (["only the first statement was analysed"] if statement.tail else [])
     return row | {
         "dialect": used,
@@ -85,6 +90,7 @@ def parse_statements(statements: DataFrame, dialect: str = "trino", mode: str =
     """A row of schema PARSED for each statement, made on the executors."""
 
     ship(statements.sparkSession)
+    dialect = checked_dialect(dialect)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

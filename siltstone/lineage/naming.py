@@ -9,8 +9,6 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 QUERY_RESULT, LITERAL = "QUERY_RESULT", "LITERAL"
-#: Dialects in which the most qualified spelling of a table wins; in others the first qualified one does.
-CATALOG_DIALECTS = frozenset({"trino", "presto", "spark"})
 MODES = ("disabled", "conservative", "full")
 
 
@@ -42,11 +40,27 @@ def naming_classes(names: list[str]) -> dict[str, list[str]]:
     return out
 
 
-def choose_canonical(names: list[str], dialect: str = "trino") -> str:
-    """Of the spellings of one table the one to show."""
-    if dialect in CATALOG_DIALECTS:
-        return max(names, key=lambda n: (n.count("."), '"' in n, len(n), n))
-    return next((n for n in names if "." in n), names[0])
+def parts_of(name: str) -> tuple[str, ...]:
+    """The dotted parts of a name, last first, without quotes and in lower case."""
+    return tuple(reversed(clean_name(name).lower().split(".")))
+
+
+def fullest(name: str, spellings: list[str]) -> str:
+    """The spelling of the same table that says most about where it is.
+
+    From the name's parts on, the part before them is added as long as all longer
+    spellings agree on it: x, s.x and c.s.x are one table, while of a.x and b.x
+    neither is x.  Of the names met on the way the last that was written is given.
+    """
+    at, best = parts_of(name), name
+    while True:
+        longer = [p for p in map(parts_of, spellings) if p[: len(at)] == at]
+        if written := [n for n in spellings if parts_of(n) == at]:
+            best = min(written, key=clean_name)
+        before = {p[len(at)] for p in longer if len(p) > len(at)}
+        if len(before) != 1:
+            return best
+        at = (*at, *before)
 
 
 @dataclass
@@ -67,23 +81,17 @@ class TableNames:
                 self._spellings[base_name(n)].append(n)
 
     def _group(self, name: str) -> list[str]:
-        """Spellings that may mean ``name``: of the same base, and not qualified differently."""
-        own = clean_name(name).lower().split(".")
-        out = []
-        for n in self._spellings.get(base_name(name), []):
-            other = clean_name(n).lower().split(".")
-            k = min(len(own), len(other))
-            if own[-k:] == other[-k:]:
-                out.append(n)
-        return out
+        """Spellings that may mean ``name``: one of the two ends by the other's parts."""
+        own = parts_of(name)
+        return [n for n in self._spellings.get(base_name(name), []) if all(x == y for x, y in zip(own, parts_of(n)))]
 
     def canonical(self, name: str) -> str:
         group = self._group(name)
         if self.mode == "disabled" or not group:
             return clean_name(name)
-        if self.mode == "conservative" and len({clean_name(n).count(".") for n in group}) == 1:
+        if self.mode == "conservative" and len({len(parts_of(n)) for n in group}) == 1:
             return clean_name(name)
-        return clean_name(choose_canonical(group, self.dialect))
+        return clean_name(fullest(name, group))
 
     def spellings(self, name: str) -> list[str]:
         return sorted(n for n in self._group(name) if self.canonical(n) == self.canonical(name))
@@ -107,10 +115,22 @@ def clean(column: Column) -> Column:
 
 
 def canonical_names(names: DataFrame, key: str = "stmt_id", name: str = "name") -> DataFrame:
-    """key, name, canonical: of each key's spellings of one base name the most qualified.
+    """key, name, canonical: what ``fullest`` gives for each of a key's spellings.
 
-    The relation behind ``TableNames`` for corpora of any size.
+    The relation behind ``TableNames`` for corpora of any size.  Each spelling is
+    joined to the endings of all spellings of its key; an ending that is followed
+    by one part only is extended by it, so no spellings meet in pairs.
     """
-    rows = names.select(key, F.col(name).alias("name")).distinct().withColumns({"dots": F.size(F.split(clean(F.col("name")), r"\.")), "quoted": F.col("name").contains('"'), "size": F.length("name"), "base": F.lower(F.element_at(F.split(clean(F.col("name")), r"\."), -1))})
-    best = F.first("name").over(Window.partitionBy(key, "base").orderBy(F.desc("dots"), F.desc("quoted"), F.desc("size"), F.desc("name")))
-    return rows.withColumn("canonical", clean(best)).select(key, "name", "canonical")
+    rows = names.select(key, F.col(name).alias("name")).distinct().withColumn("parts", F.reverse(F.split(F.lower(clean(F.col("name"))), r"\.")))
+    # Every proper ending, with the part that comes before it in some spelling.
+    steps = rows.select(key, "name", "parts", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("n")).select(key, F.expr("slice(parts, 1, n)").alias("parts"), F.when(F.col("n") < F.size("parts"), F.expr("parts[n]")).alias("next"))
+    # A spelling that is written so, for its own letters; the same ending in two ways is cut there.
+    written = rows.groupBy(key, "parts").agg(F.min(clean(F.col("name"))).alias("written"))
+    ways = steps.groupBy(key, "parts").agg(F.min("next").alias("one"), F.max("next").alias("other")).join(written, [key, "parts"], "left")
+    ways = ways.select(key, "parts", "written", F.when(F.col("one") == F.col("other"), F.concat("parts", F.array("one"))).alias("longer"))
+    # A name has at most four parts, so three steps reach the longest.
+    at = rows.select(key, "name", F.col("parts").alias("at"), clean(F.col("name")).alias("canonical"))
+    for _ in range(4):
+        w = ways.select(F.col(key), F.col("parts").alias("at"), "written", "longer")
+        at = at.join(w, [key, "at"], "left").select(key, "name", F.coalesce("longer", "at").alias("at"), F.coalesce("written", "canonical").alias("canonical"))
+    return at.select(key, "name", "canonical")

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 
 from siltstone.lineage import cli, combine, documents, render
 from siltstone.lineage.api import LineageAnalyzer, LineageChainCombiner, LineageEventMapper, LineageVisualizer
-from siltstone.lineage.dialects import candidates
+from siltstone.lineage.dialects import DIALECTS, HAVE, STRICT, candidates
+from siltstone.lineage.fallback import Scan, alias_of, function_of
 from siltstone.lineage.naming import TableNames, base_name, naming_classes, split_column
 from siltstone.lineage.parser import parse
 from siltstone.lineage.providers import DictProvider, Registry, sample_registry
@@ -285,3 +286,96 @@ def test_spans_give_the_text_back(items, where):
     sql = f"SELECT {', '.join(items)} FROM t" + (" WHERE a > 1" if where else "")
     s = parse(sql)
     assert [s.text(i.expr) for i in s.query.items] == items
+
+
+TAKEN = [
+    ("SELECT trim(both 'x' from c), trim(leading from d), trim(e) FROM t", {"t"}),
+    ("SELECT a FROM t FOR VERSION AS OF 5 x JOIN u TIMESTAMP AS OF '2024-01-01' ON x.a = u.a", {"t", "u"}),
+    ("SELECT a FROM t FOR SYSTEM_TIME AS OF now() AS x", {"t"}),
+    ("SELECT row(1, 2).a, (SELECT s FROM u).f FROM t", {"t", "u"}),
+    ("SELECT * FROM t PIVOT (sum(v) AS s, count(*) FOR m IN ('a' AS x, 'b')) AS p WHERE p.x > 1", {"t"}),
+    ("SELECT * FROM t UNPIVOT (v FOR m IN (a, b)) u", {"t"}),
+    ("SELECT * FROM t MATCH_RECOGNIZE (PARTITION BY a ORDER BY b MEASURES A.c AS c PATTERN (A B+) DEFINE B AS B.c > A.c) AS m", {"t"}),
+    ("TABLE t", {"t"}),
+    ("WITH x AS (TABLE t) SELECT a FROM x UNION TABLE u", None),
+    ("SELECT t.a, u.b FROM t CROSS APPLY (SELECT b FROM v WHERE v.a = t.a) u OUTER APPLY f(t.c) w", {"t", "v"}),
+    ("SELECT a FROM t START WITH p IS NULL CONNECT BY NOCYCLE PRIOR a = p ORDER BY a", {"t"}),
+    ("SELECT t.a FROM t, u WHERE t.a = u.a(+) AND t.b(+) = 3", {"t", "u"}),
+    ("SELECT a FROM t WHERE a ~* 'x' AND b !~ 'y' AND c ~ 'z'", {"t"}),
+    ("SELECT j:x.y::int, a[1:2], a[i:k] FROM t", {"t"}),
+    ("EXPLAIN ANALYZE SELECT a FROM t", {"t"}),
+    ("EXPLAIN (FORMAT JSON) SELECT a FROM t", {"t"}),
+    ("SELECT a FROM t WHERE b = 'x\\'' AND c = \"it's\"", None),
+]
+
+
+@pytest.mark.parametrize("sql, tables", TAKEN)
+def test_constructs_of_all_dialects(sql, tables):
+    got = LineageAnalyzer("spark" if "\\" in sql else "trino").analyze(sql)
+    assert not got.errors
+    if tables:
+        assert got.table_lineage.upstream[R] == tables
+
+
+@pytest.mark.parametrize("sql, kind", [("DROP TABLE IF EXISTS a.t CASCADE", "DROP"), ("TRUNCATE TABLE a.t", "TRUNCATE"), ("ALTER TABLE a.t ADD COLUMN x int", "ALTER"), ("ALTER TABLE a.t RENAME TO a.u", "ALTER")])
+def test_statements_that_read_nothing(sql, kind):
+    row = A.row(sql)
+    assert row["errors"] == [] and row["sql_type"] == kind and row["target"] == "a.t" and row["table_edges"] == []
+
+
+def test_long_and_deep_statements():
+    many = A.row(" UNION ALL ".join(f"SELECT a FROM t{k}" for k in range(3000)))
+    assert not many["errors"] and len(many["table_edges"]) == 3000 and len(many["column_edges"]) == 3000
+    ands = A.row("SELECT a FROM t WHERE " + " AND ".join(f"c{k} = {k}" for k in range(20_000)))
+    assert not ands["errors"] and len(ands["transformations"][0]["filter_conditions"]) == 20_000
+    assert len(A.row("SELECT " + " + ".join(f"c{k}" for k in range(5000)) + " AS s FROM t")["column_edges"]) == 5000
+    for text in ("(" * 900 + "a" + ")" * 900, "f(" * 3000 + "a" + ")" * 3000, "CASE WHEN a THEN " * 900 + "a" + " END" * 900, "NOT " * 5000 + "a"):
+        row = A.row(f"SELECT {text} AS s FROM t")
+        assert not row["errors"] and {e["source_column"] for e in row["column_edges"]} == {"a"}
+    nested = A.row("SELECT a FROM (" * 400 + "SELECT a FROM t" + ") x" * 400)
+    assert not nested["errors"] and ("t", "a") in {(e["source_entity"], e["source_column"]) for e in nested["column_edges"]}
+
+
+def test_columns_of_functions_in_from():
+    assert columns("SELECT x.a, y FROM t CROSS JOIN UNNEST(t.arr) AS x(a), UNNEST(t.brr) AS z(y)") == {f"{R}.a": ["t.arr"], f"{R}.y": ["t.brr"]}
+    assert columns("SELECT e, b FROM t LATERAL VIEW explode(split(t.c, ',')) v AS e") == {f"{R}.e": ["t.c"], f"{R}.b": ["t.b"]}
+    assert columns("SELECT u.b, g.n FROM t, LATERAL (SELECT v.b FROM v WHERE v.a = t.a) u, generate_series(1, 5) AS g(n)")[f"{R}.b"] == ["v.b"]
+    assert "x" not in {e["name"] for e in A.row("SELECT x.a FROM t CROSS JOIN UNNEST(t.arr) AS x(a)")["entities"]}
+
+
+def test_columns_without_a_name_and_by_elimination():
+    assert columns("SELECT a + b, count(*) FROM t") == {f"{R}._col0": ["t.a", "t.b"]}
+    assert [e["target_column"] for e in A.row("SELECT count(*), a FROM t")["column_edges"]] == ["_col0", "a"]
+    assert columns("INSERT INTO w (p, q) SELECT upper(a), b FROM t") == {"w.p": ["t.a"], "w.q": ["t.b"]}
+    assert columns("WITH c AS (SELECT k, v FROM t) SELECT v, z FROM c JOIN u ON c.k = u.k")[f"{R}.z"] == ["u.z"]
+
+
+def test_dialects_by_their_constructs():
+    assert set().union(*HAVE.values()) <= set(DIALECTS) and STRICT <= set(HAVE)
+    for sql, given, found in [("SELECT j:x, a(+) FROM t", "trino", "snowflake"), ("SELECT a FROM t, u WHERE t.a = u.a(+) CONNECT BY PRIOR a = b", "trino", "oracle"), ("SELECT a::int FROM t", "trino", "trino"), ("SELECT TOP 3 a FROM t CROSS APPLY f(a) x", "postgres", "tsql")]:
+        assert LineageAnalyzer(given).analyze(sql).dialect == found
+    assert A.analyze("SELECT TOP 5 a FROM t CROSS APPLY f(a) x LIMIT 3").errors
+    assert LineageAnalyzer("MSSQL").dialect == "tsql" and LineageAnalyzer("postgresql").dialect == "postgres"
+    with pytest.raises(ValueError):
+        LineageAnalyzer("cobol")
+    assert up('SELECT "a" AS x FROM t # it\'s', dialect="mysql") == {R: ["t"]} and A.analyze('SELECT "a" AS x FROM t').column_lineage.upstream == {f"{R}.x": {"t.a"}}
+    assert LineageAnalyzer("mysql").row('SELECT "a" AS x FROM t')["references"] == []
+
+
+def test_a_name_is_as_full_as_all_agree():
+    names = TableNames("postgres")
+    names.register(["x", "a.s.x", "b.s.x", "y", "c.y", "Z", "k.z", "m.k.z"])
+    assert [names.canonical(n) for n in ("x", "y", "z", "k.z")] == ["x", "c.y", "m.k.z", "m.k.z"]
+
+
+def test_texts_that_do_not_parse_are_scanned():
+    sql = "WITH c AS (SELECT a FROM s.t) SELECT x.a, count(*) n FROM c x LEFT OUTER JOIN u ON x.a = u.a AND u.b > 1 WHERE x.a BETWEEN 1 AND 2 AND u.c IS NOT NULL AND d IN (1, 2) GROUP BY x.a, f(b, c) HAVING count(*) > 1 ORDER BY a DESC !! ??("
+    scan = Scan(sql)
+    assert scan.tables == ["s.t", "u"] and scan.ctes == {"c": "SELECT a FROM s.t"} and scan.edges() == [(R, "s.t"), (R, "u")]
+    assert scan.joins == [{"join_type": "LEFT OUTER JOIN", "right_table": "u", "condition": "x.a = u.a AND u.b > 1"}] and scan.aliases["x"] == "c"
+    assert scan.listed("select") == ["x.a", "count(*) n"] and scan.listed("group_by") == ["x.a", "f(b, c)"] and alias_of("count(*) n") == "n" and function_of("count(*) n") == "COUNT"
+    assert [(c["column"], c["operator"], c["value"]) for c in scan.conditions()] == [("x.a", "BETWEEN", "1 AND 2"), ("u.c", "IS NOT NULL", None), ("d", "IN", "(1, 2)")]
+    row = A.row(sql)
+    assert row["errors"] and [(e["target"], e["source"]) for e in row["table_edges"]] == scan.edges() and "scan" in row["warnings"][0]
+    assert Scan("INSERT INTO w SELECT FROM 'x' JOIN t").edges() == [("w", "t")]
+    assert A.row("SELECT FROM WHERE")["table_edges"] == []
