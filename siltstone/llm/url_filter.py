@@ -12,10 +12,19 @@ and, if given, from a table of redirects.  Targets are resolved by RFC 3986.  A
 node is a URL with scheme and host in lower case, no fragment and no dot segments
 in its path.  Targets that are no pages count as members too.
 
+A list of at most MOST_COMPILED rules is compiled into the plan.  A longer one, or
+a table of any size, is joined by hash: a host's endings meet the hosts that have
+rules, with the lengths that the paths of these have, and then the path's
+beginnings of these lengths meet the rules.  Each distinct host and path is judged
+once, rows are aggregated by it, and no rule is ever compared with all URLs.
+
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits
 no rule and has no aliases; null or empty html has no links; repeated pages are
 judged alike; an empty table gives no rows; of equally long rules allow wins, then
-the first in the alphabet.
+the first in the alphabet; rules without a host or with another verdict than allow
+and block are an error in a list, and fit nothing in a table.  The columns uf_host,
+uf_path, uf_rule and uf_verdict replace those of these names; all other columns
+stay, whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,8 +36,10 @@ from .common import Scratch, table
 from .components import connected_components
 
 Rule = tuple[str, str, str]
-#: A rule list is compiled into the plan; longer ones should be a table.
-MOST_RULES = 1000
+#: Longer lists of rules are joined as a table.
+MOST_COMPILED = 200
+_RULES = "verdict string, host string, path string"
+_JUDGED = "struct<size:int,late:boolean,rule:string,verdict:string>"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^(.*?)://([^/?#]*)([^?#]*)([^#]*)"
@@ -67,18 +78,58 @@ def _undotted(path: Column) -> Column:
     return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(path)
 
 
+def _mark(size: Column, verdict: Column, rule: Column) -> Column:
+    """A rule that fits; of several the least decides."""
+    return F.struct((-size).cast("int").alias("size"), (verdict != "allow").alias("late"), rule.alias("rule"), verdict.alias("verdict"))
+
+
 def judged(host: Column, path: Column, rules: list[Rule]) -> Column:
     """struct(rule, verdict) of the longest fitting rule, else null."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
-    fits = [
-        F.when(
-            ((host == h) | host.endswith(f".{h}")) & path.startswith(p),
-            F.struct(F.lit(-len(h + p)).alias("size"), F.lit(verdict != "allow").alias("late"), F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict")),
-        )
-        for verdict, h, p in rules
-    ]
-    return F.array_min(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,late:boolean,rule:string,verdict:string>")
+    fits = [F.when(((host == h) | host.endswith(f".{h}")) & path.startswith(p), _mark(F.lit(len(h + p)), F.lit(verdict), F.lit(h + p))) for verdict, h, p in rules]
+    # array_min of one element is that element; nulls are skipped.
+    return F.array_min(F.array(*fits)) if fits else F.lit(None).cast(_JUDGED)
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+class Rules:
+    """A set of rules, as a list or a table (verdict, host, path)."""
+
+    def __init__(self, spark: SparkSession, rules: list[Rule] | DataFrame, scratch: Scratch):
+        self.compiled = None if isinstance(rules, DataFrame) else list(rules)
+        self.scratch = scratch
+        if self.compiled is not None:
+            for verdict, host, _ in self.compiled:
+                if verdict not in ("allow", "block") or not host:
+                    raise ValueError(f"not a rule: {verdict} {host}")
+            if len(self.compiled) <= MOST_COMPILED:
+                return
+            rules = spark.createDataFrame(self.compiled, _RULES)
+            self.compiled = None
+        usable = rules.select("verdict", F.translate("host", _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path")).where("verdict in ('allow', 'block') and host <> ''")
+        mark = _mark(F.length("host") + F.length("path"), F.col("verdict"), F.concat("host", "path"))
+        self.best = scratch.save(usable.groupBy("host", "path").agg(F.min(mark).alias("mark")), "rules")
+        # One row for each host: the lengths of its paths, of which a URL has no more than its path has characters.
+        self.lengths = scratch.save(self.best.groupBy("host").agg(F.collect_set(F.length("path")).alias("lengths")), "rule-lengths")
+
+    def judge(self, rows: DataFrame, host: str, path: str, into: str) -> DataFrame:
+        """``rows`` with the column ``into``: struct(size, late, rule, verdict) of the rule that decides, else null."""
+        if self.compiled is not None:
+            return rows.withColumn(into, judged(F.col(host), F.col(path), self.compiled))
+        pairs = rows.select(F.col(host).alias("h"), F.col(path).alias("p")).where("h <> ''").distinct()
+        labels = F.split("h", r"\.")
+        endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+        ending = pairs.select("h", "p", F.explode(endings).alias("host")).where("host <> ''")
+        begin = ending.join(self.lengths, "host").select("h", "p", "host", F.explode(F.filter("lengths", lambda n: n <= F.length("p"))).alias("n"))
+        met = begin.select("h", "p", "host", F.expr("substring(p, 1, n)").alias("path")).join(self.best, ["host", "path"])
+        found = self.scratch.save(met.groupBy("h", "p").agg(F.min("mark").alias("mark")), "judged")
+        h, p, mark = (_free(n, rows.columns) for n in ("uf_h", "uf_p", "uf_mark"))
+        found = found.select(F.col("h").alias(h), F.col("p").alias(p), F.col("mark").alias(mark))
+        return rows.join(found, (F.col(host) == F.col(h)) & (F.col(path) == F.col(p)), "left").withColumn(into, F.col(mark)).drop(h, p, mark)
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -104,25 +155,27 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     return links.where("raw <> ''").select("a", node_of(whole).alias("b"))
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` with uf_host, uf_path, uf_rule and uf_verdict (columns of these names are replaced)."""
+def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: DataFrame | None = None, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``pages`` with uf_host, uf_path, uf_rule and uf_verdict (columns of these names are replaced).
+
+    ``rules`` is a list of (verdict, host, path), or a table of these columns.
+    """
     scratch = Scratch(pages.sparkSession, "url-filter")
+    law = Rules(pages.sparkSession, rules, scratch)
     edges = alias_edges(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("source")), node_of(F.col("target"))))
     members = scratch.save(connected_components(edges, scratch), "members")
-    own = judged(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
-    groups = scratch.save(members.groupBy("component").agg(F.max(own == "allow").alias("allowed"), F.max(own == "block").alias("blocked")), "groups")
-    decided = scratch.save(members.join(groups, "component").where("blocked and not coalesce(allowed, false)").select(F.col("node").alias("uf_node")), "blocked")
-    added = ("uf_host", "uf_path", "uf_rule", "uf_verdict", "uf_node")
-    out = pages.drop(*added).withColumns({"uf_host": host_of(F.col(url_col)), "uf_path": path_of(F.col(url_col)), "uf_at": node_of(F.col(url_col))})
-    out = out.withColumn("uf_own", judged(F.col("uf_host"), F.col("uf_path"), rules)).join(decided, F.col("uf_at") == F.col("uf_node"), "left")
-    return out.withColumns(
-        {
-            "uf_rule": F.col("uf_own.rule"),
-            "uf_verdict": F.coalesce(F.col("uf_own.verdict"), F.when(F.col("uf_node").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))),
-        }
-    ).drop("uf_at", "uf_own", "uf_node")
+    ruled = law.judge(members.select("node", "component", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path")), "host", "path", "own").select("node", "component", F.col("own.verdict").alias("own"))
+    groups = scratch.save(ruled.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked")), "groups")
+    url, added = F.col(url_col), ("uf_host", "uf_path", "uf_rule", "uf_verdict")
+    kept = [c for c in pages.columns if c not in added]
+    at, own, hit = (_free(n, pages.columns) for n in ("uf_at", "uf_own", "uf_hit"))
+    decided = scratch.save(members.join(groups, "component").where("blocked and not coalesce(allowed, false)").select(F.col("node").alias(hit)), "blocked")
+    out = pages.select(*kept, host_of(url).alias("uf_host"), path_of(url).alias("uf_path"), node_of(url).alias(at))
+    out = law.judge(out, "uf_host", "uf_path", own).join(decided, F.col(at) == F.col(hit), "left")
+    verdict = F.coalesce(F.col(f"{own}.verdict"), F.when(F.col(hit).isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
+    return out.select(*kept, "uf_host", "uf_path", F.col(f"{own}.rule").alias("uf_rule"), verdict.alias("uf_verdict"))
 
 
 #: The rules of the registered query.

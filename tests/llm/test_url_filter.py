@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from siltstone.llm import url_filter as uf
 
 from ..compare import same
@@ -82,5 +86,45 @@ def test_empty(spark):
 
 
 def test_no_python_in_the_plan(spark, sf):
-    plan = uf.op9_url_filter(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    many = [("block", f"h{k}.com", "/") for k in range(uf.MOST_COMPILED + 1)]
+    for out in (uf.op9_url_filter(spark, sf), uf.filter_urls(spark.read.parquet(f"{sf}/pages.parquet"), many)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_columns_of_any_name_stay(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x", None, 5, 6, 7, 8)], "page_id long, url string, html string, uf_at int, uf_own int, uf_hit int, uf_h int")
+    row = uf.filter_urls(pages, uf.RULES).first().asDict()
+    assert (row["uf_at"], row["uf_own"], row["uf_hit"], row["uf_h"], row["uf_verdict"]) == (5, 6, 7, 8, "block")
+
+
+def test_a_list_must_be_of_rules(spark):
+    with pytest.raises(ValueError):
+        judged_by(spark, [(1, "http://a/", None)], [("deny", "a", "/")])
+
+
+def judged_by(spark, rows, rules):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: (r["uf_rule"], r["uf_verdict"]) for r in uf.filter_urls(pages, rules).collect()}
+
+
+def test_the_table_of_rules_judges_as_the_list_does(spark, monkeypatch):
+    r = random.Random(3)
+    hosts = ["a.com", "b.a.com", "c.b.a.com", "xa.com", "net", "example.net", "d"]
+    paths = ["", "/", "/e", "/en", "/en/", "/en/x", "/fr/"]
+    rules = [(r.choice(["allow", "block"]), r.choice(hosts), r.choice(paths)) for _ in range(30)]
+    rows = [(k, f"http://{r.choice(['', 'w.', 'V.'])}{r.choice(hosts)}{r.choice(paths)}{r.choice(['', '?q', 'z', '/1'])}", link(f"http://{r.choice(hosts)}{r.choice(paths)}") if k % 3 else None) for k in range(120)]
+    rows += [(200, None, None), (201, "none", None), (202, "http://a.com/", None), (203, "http://a.com/", None), (204, "http:///en/", None), (205, "http://.a.com./", None)]
+    want = judged_by(spark, rows, rules)
+    table = spark.createDataFrame([*rules, ("block", None, "/"), ("block", "", "/"), ("deny", "d", "/"), (None, "d", "/")], uf._RULES)
+    assert judged_by(spark, rows, table) == want
+    monkeypatch.setattr(uf, "MOST_COMPILED", 5)
+    assert judged_by(spark, rows, rules) == want
+
+
+def test_ten_thousand_rules(spark):
+    rules = [("block", f"h{k}.com", f"/{k % 7}/") for k in range(9_000)] + [("allow", "hub.org", f"/{k:04d}") for k in range(2_000)] + [("block", "org", "/")]
+    rows = [(k, f"http://w.h{k}.com/{k % 7}/x", None) for k in range(0, 9_000, 300)] + [(10_000 + k, f"http://hub.org/{k:04d}/y", None) for k in range(0, 4_000, 500)]
+    got = judged_by(spark, rows, rules)
+    assert all(got[k] == (f"h{k}.com/{k % 7}/", "block") for k in range(0, 9_000, 300))
+    assert [got[10_000 + k][1] for k in range(0, 4_000, 500)] == ["allow"] * 4 + ["block"] * 4
