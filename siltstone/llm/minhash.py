@@ -44,7 +44,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Scratch, encoded, hashed_texts, mix, small, table
+from .common import Scratch, encoded, free_name, hashed_texts, mix, small, table
 from .components import connected_components
 
 HASHES, BANDS = 128, 32
@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without documents that are linked to one of a lesser id; rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "minhash-drop")
-    lost = _free_name(docs, "nd_gone")
+    lost = free_name("nd_gone", docs.columns)
     gone = scratch.save(near_duplicates(docs, size, percent, id_col, text_col).where(~F.col("nd_kept")).select(F.col("doc_id").alias(lost)).distinct(), "gone")
     return docs.join(gone, F.col(id_col).cast("long") == F.col(lost), "left_anti")
 
@@ -364,7 +364,7 @@ def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     is in their group.  Of them those without a word, which have no group, stay.
     """
     scratch = Scratch(docs.sparkSession, "minhash-groups")
-    number, lost, repeats, first, start = (_free_name(docs, n) for n in ("nd_number", "nd_gone", "nd_again", "nd_part", "nd_start"))
+    number, lost, repeats, first, start = (free_name(n, docs.columns) for n in ("nd_number", "nd_gone", "nd_again", "nd_part", "nd_start"))
     own = F.col(id_col).cast("long")
     no_id, has_words = own.isNull(), F.coalesce(F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     bare = scratch.save(docs.where(no_id & has_words).dropDuplicates([text_col]).withColumn(number, F.monotonically_increasing_id()), "no-id")
@@ -392,12 +392,6 @@ def one_of_each_group(docs: DataFrame, size: int = 5, percent: int = 80, id_col:
     return once.unionByName(again).unionByName(lone).unionByName(docs.where(no_id & ~has_words))
 
 
-def _free_name(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at two-word shingles."""
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2)

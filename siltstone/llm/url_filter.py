@@ -32,7 +32,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from .common import Scratch, table
+from .common import Scratch, free_name, table
 from .components import connected_components
 
 Rule = tuple[str, str, str]
@@ -90,12 +90,6 @@ def judged(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.array_min(F.array(*fits)) if fits else F.lit(None).cast(_JUDGED)
 
 
-def _free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 class Rules:
     """A set of rules, as a list or a table (verdict, host, path)."""
 
@@ -127,7 +121,7 @@ class Rules:
         begin = ending.join(self.lengths, "host").select("h", "p", "host", F.explode(F.filter("lengths", lambda n: n <= F.length("p"))).alias("n"))
         met = begin.select("h", "p", "host", F.expr("substring(p, 1, n)").alias("path")).join(self.best, ["host", "path"])
         found = self.scratch.save(met.groupBy("h", "p").agg(F.min("mark").alias("mark")), "judged")
-        h, p, mark = (_free(n, rows.columns) for n in ("uf_h", "uf_p", "uf_mark"))
+        h, p, mark = (free_name(n, rows.columns) for n in ("uf_h", "uf_p", "uf_mark"))
         found = found.select(F.col("h").alias(h), F.col("p").alias(p), F.col("mark").alias(mark))
         return rows.join(found, (F.col(host) == F.col(h)) & (F.col(path) == F.col(p)), "left").withColumn(into, F.col(mark)).drop(h, p, mark)
 
@@ -170,7 +164,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | DataFrame, redirects: Data
     groups = scratch.save(ruled.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked")), "groups")
     url, added = F.col(url_col), ("uf_host", "uf_path", "uf_rule", "uf_verdict")
     kept = [c for c in pages.columns if c not in added]
-    at, own, hit = (_free(n, pages.columns) for n in ("uf_at", "uf_own", "uf_hit"))
+    at, own, hit = (free_name(n, pages.columns) for n in ("uf_at", "uf_own", "uf_hit"))
     decided = scratch.save(members.join(groups, "component").where("blocked and not coalesce(allowed, false)").select(F.col("node").alias(hit)), "blocked")
     out = pages.select(*kept, host_of(url).alias("uf_host"), path_of(url).alias("uf_path"), node_of(url).alias(at))
     out = law.judge(out, "uf_host", "uf_path", own).join(decided, F.col(at) == F.col(hit), "left")

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from siltstone.llm import decontaminate as dc
@@ -79,18 +80,53 @@ def test_spans_are_cut(spark):
     assert not words(cut)[1:2] == ["one"] and dc.remove_spans(out, bench).count() == 3
 
 
-def test_automaton_matches_the_longest():
-    sam = dc.SuffixAutomaton([("a", list(b"abcbc")), ("b", list(b"bcbcd"))], 3)
-    text = list(b"xabcbcdq")
-    ids = [sam.known.get(c, -1) for c in text]
-    lengths = [n for _, n, _ in sam.walk(ids)]
+def test_automaton_matches_the_longest(monkeypatch):
+    items = [b"abcbc", b"bcbcd"]
+    arrays = dc.Block.build([(n, np.array(list(seq), np.uint64)) for n, seq in zip("ab", items)], 3)
+    block, text = dc.Block(arrays, 3), list(b"xabcbcdq")
+    known = arrays["known"].tolist()
+    _, lengths = block._walk(np.array([known.index(c) if c in known else -1 for c in text]))
 
     def longest(k):
-        ends = [b"abcbc", b"bcbcd"]
-        return max(n for n in range(k + 2) if n == 0 or any(bytes(text[k + 1 - n : k + 1]) in e for e in ends))
+        return max(n for n in range(k + 2) if n == 0 or any(bytes(text[k + 1 - n : k + 1]) in e for e in items))
 
-    assert lengths == [longest(k) for k in range(len(text))]
-    assert len(sam.length) <= 2 * 10
+    assert lengths.tolist() == [longest(k) for k in range(len(text))]
+    assert len(arrays["link"]) <= 2 * 10
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 64])
+def test_long_runs_are_walked_in_chunks(spark, monkeypatch, chunk):
+    """Texts of known words alone, whose matches go over the ends of chunks."""
+    r = random.Random(chunk)
+    item = [r.choice("abc") for _ in range(60)]
+    items = [(1, " ".join(item)), (2, "a b"), (3, " ".join(item[20:29]) + " c")]
+    texts = [(k, " ".join(r.choice("abc") for _ in range(200)) + " " + " ".join(item[k : k + 25])) for k in range(20)]
+    monkeypatch.setattr(dc, "CHUNK", chunk)
+    blocks = [dc.Block(dc.Block.build([(str(i), hashes) for i, hashes in zip("123", [hashed(t) for _, t in items])], 6), 6)]
+    for k, text in texts:
+        own, found = hashed(text), [set()]
+        hit = np.zeros(len(own), bool)
+        blocks[0].scan(own, np.array([0, len(own)]), hit, found)
+        want = brute([(k, text)], items, 6)[0]
+        assert (len(own), int(hit.sum()), len(found[0])) == want[1:4]
+
+
+def hashed(text):
+    return next(dc.hashed_texts([text.encode()], dc.WORDS))[2]
+
+
+def test_a_long_item_is_cut_into_blocks(spark):
+    r = random.Random(9)
+    long = [f"w{r.randint(0, 300)}" for _ in range(5000)]
+    items = [(1, " ".join(long)), (2, "w1 w2"), (3, " ".join(long[100:180]))]
+    docs = [(k, f"x {' '.join(long[k * 97 : k * 97 + 40])} y {' '.join(long[-15:])} w1 w2") for k in range(40)]
+    assert got(spark, docs, items, max_words=64) == brute(docs, items)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d", [5], "i")], "doc_id long, text string, dc_spans array<int>, DC_ITEMS string")
+    out = dc.remove_spans(docs, spark.createDataFrame([(1, "b c")], "item_id long, text string"), least_words=1)
+    assert out.schema == docs.schema and [tuple(r) for r in out.collect()] == [(1, "a  d", [5], "i")]
 
 
 @pytest.mark.parametrize("max_words", [10**6, 5])
