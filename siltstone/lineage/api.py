@@ -175,8 +175,10 @@ class LineageVisualizer:
     def get_supported_formats(self) -> list[str]:
         return list(render.FORMATS)
 
-    def create_lineage_chain_diagram(self, chain_json: str, output_path: str = "lineage", output_format: str = "dot", layout: str = "horizontal", show_columns: bool = True) -> str:
-        return render.write_diagram(render.chain_dot(chain_json, layout, show_columns, self.styles), output_path, output_format)
+    def create_lineage_chain_diagram(self, chain_json: str, output_path: str = "lineage", output_format: str = "dot", layout: str = "horizontal", show_columns: bool = True, detail: bool = False) -> str:
+        """With ``detail`` columns are ports with lines between them, and what is done is in boxes of its own."""
+        dot = render.detailed_dot(chain_json, layout, self.styles) if detail else render.chain_dot(chain_json, layout, show_columns, self.styles)
+        return render.write_diagram(dot, output_path, output_format)
 
     def create_table_only_diagram(self, table_chain_json: str, output_path: str = "lineage", output_format: str = "dot", layout: str = "horizontal") -> str:
         return render.write_diagram(render.simple_dot(table_chain_json, layout), output_path, output_format)

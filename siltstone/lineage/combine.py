@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 from . import documents
 from .naming import QUERY_RESULT
+from .parser import deep
 
 
 def producers(edges: DataFrame, statements: DataFrame) -> DataFrame:
@@ -67,10 +68,17 @@ def roles(docs: list[dict]) -> tuple[dict[str, int], dict[str, list[int]]]:
     return made, read
 
 
+#: Chains that are listed one by one; of more, each start has one that holds all it leads to.
+MOST_CHAINS = 256
+
+
 def chains(docs: list[dict]) -> list[list[int]]:
     """All chains of statements from one without a producer to one without a consumer; those without links alone.
 
-    A circle is cut where it closes; where nothing is without a producer, the first statement begins.
+    A circle is cut where it closes; where nothing is without a producer, the
+    first statement begins.  Where more than MOST_CHAINS ways lead on, as their
+    number can double with every statement, each start gives one chain instead:
+    all statements that it leads to, producers before consumers.
     """
     made, read = roles(docs)
     below: dict[int, list[int]] = {}
@@ -78,26 +86,60 @@ def chains(docs: list[dict]) -> list[list[int]]:
         for c in read.get(table, []):
             if c != k and c not in below.setdefault(k, []):
                 below[k].append(c)
+    below = {k: sorted(cs) for k, cs in below.items()}
     led = {c for cs in below.values() for c in cs}
-    out: list[list[int]] = []
+    starts = [k for k in range(len(docs)) if k not in led]
+    order = [*starts, *range(len(docs))]
+    ways = _ways(below, order)
+    return [_reached(below, k) for k in _first_of(below, order)] if ways is None else ways
 
-    def follow(path: list[int]) -> None:
-        more = [c for c in sorted(below.get(path[-1], [])) if c not in path]
-        if not more:
-            out.append(path)
-        for c in more:
-            follow([*path, c])
 
-    starts = [k for k in range(len(docs)) if k not in led]
+def _ways(below: dict[int, list[int]], order: list[int]) -> list[list[int]] | None:
+    """Every simple way on from the starts, or None where there are too many."""
+    out: list[list[int]] = []
     seen: set[int] = set()
-    for k in [*starts, *range(len(docs))]:
+    steps = 0
+    for start in order:
+        if start in seen:
+            continue
+        left, here = [[start]], []
+        while left:
+            path = left.pop()
+            steps += 1
+            more = [c for c in below.get(path[-1], []) if c not in path]
+            if not more:
+                here.append(path)
+            left += [[*path, c] for c in reversed(more)]
+            if len(out) + len(here) > MOST_CHAINS or steps > 64 * MOST_CHAINS:
+                return None
+        out += here
+        seen |= {x for p in here for x in p}
+    return out
+
+
+def _first_of(below: dict[int, list[int]], order: list[int]) -> list[int]:
+    """Starts of which none leads to another."""
+    out, seen = [], set()
+    for k in order:
         if k not in seen:
-            n = len(out)
-            follow([k])
-            seen |= {x for p in out[n:] for x in p}
+            out.append(k)
+            seen.update(_reached(below, k))
     return out
 
 
+def _reached(below: dict[int, list[int]], start: int) -> list[int]:
+    """All that a statement leads to, itself first, each after those that lead to it (but for circles)."""
+    done, state, left = [], {start: iter(below.get(start, []))}, [start]
+    while left:
+        c = next(state[left[-1]], None)
+        if c is None:
+            done.append(left.pop())
+        elif c not in state:
+            state[c] = iter(below.get(c, []))
+            left.append(c)
+    return done[::-1]
+
+
 def combined_documents(docs: list[dict]) -> list[dict]:
     """One document for each chain of statements, whose nodes flow on from producer to consumer."""
     out = []
@@ -117,12 +159,12 @@ def combined_documents(docs: list[dict]) -> list[dict]:
                     if d["entity"] not in below.setdefault(n["entity"], []):
                         below[n["entity"]].append(d["entity"])
 
-        deepest = 0
+        written = documents.Written()
 
         def node(name: str, level: int, seen: tuple[str, ...]) -> dict:
-            nonlocal deepest
-            deepest = max(deepest, level)
             own = nodes[name]
+            if written.again(name):
+                return {"entity": name, "entity_type": own["entity_type"], "depth": level, "dependencies": [], "metadata": {"table_columns": []}, "repeated": True}
             made = {k: v for k, v in own.items() if k != "queries" and (v or k != "transformations")}
             made |= {"depth": level, "dependencies": [node(x, level + 1, (*seen, name)) for x in below.get(name, []) if x not in seen and x != name]}
             if len(own["queries"]) > 1:
@@ -131,7 +173,8 @@ def combined_documents(docs: list[dict]) -> list[dict]:
 
         lower = {x for xs in below.values() for x in xs}
         starts = [n for n in nodes if n not in lower] or list(nodes)[:1]
-        tree = {n: node(n, 0, ()) for n in starts}
+        with deep(len(nodes)):
+            tree = {n: node(n, 0, ()) for n in starts}
         every = documents.walk(tree)
         out.append(
             {
@@ -145,7 +188,7 @@ def combined_documents(docs: list[dict]) -> list[dict]:
                 "chains": tree,
                 "summary": {"total_tables": len({n["entity"] for n in every if n["entity_type"] == "table"}), "total_columns": sum(docs[k]["summary"]["total_columns"] for k in path), "has_transformations": any(docs[k]["summary"]["has_transformations"] for k in path), "has_metadata": any(docs[k]["summary"]["has_metadata"] for k in path), "chain_count": 1},
                 "errors": [],
-                "warnings": [],
+                "warnings": written.warnings(),
             }
         )
     return out

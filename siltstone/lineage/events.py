@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from .naming import clean, clean_name
 
-VERSION = "1.0"
+VERSION = "1.0.0"
 #: Entity kinds that events show as tables.
 AS_TABLE = ("cte", "query_result", "derived_table", "table", "subquery")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import html
 import json
 from pathlib import Path
 
 from . import documents
+from .naming import QUERY_RESULT
 
 #: What a diagram can be written as; anything but DOT text needs the ``dot`` program.
 FORMATS = ("png", "svg", "pdf", "jpg", "jpeg", "dot", "ps")
@@ -95,6 +97,73 @@ def chain_dot(document: dict | str, layout: str = "horizontal", show_columns: bo
     return "\n".join([*lines, "}"])
 
 
+def step_lines(t: dict) -> list[str]:
+    """All that a transformation does, a line each."""
+    out = []
+    for j in t.get("joins", []):
+        on = " AND ".join(f"{c['left_column']} {c['operator']} {c['right_column']}" for c in j["conditions"])
+        out.append(f"{j['join_type']} {j['right_table']}" + (f" ON {on}" if on else ""))
+    for key, word in (("filter_conditions", "WHERE"), ("having_conditions", "HAVING")):
+        for c in t.get(key, []):
+            value = f"({', '.join(c['value'])})" if isinstance(c["value"], list) else c["value"] or ""
+            out.append(" ".join(x for x in (word, c["column"], c["operator"], value) if x))
+    for key, word in (("group_by_columns", "GROUP BY"), ("order_by_columns", "ORDER BY")):
+        if t.get(key):
+            out.append(f"{word} {', '.join(t[key])}")
+    if limit := t.get("limiting"):
+        out.append(" ".join(f"{k.upper()} {v}" for k, v in limit.items() if v))
+    return [*out, *(u["union_type"] for u in t.get("unions", []))]
+
+
+def _table(name: str, kind: str, columns: list[dict], looks: dict) -> str:
+    """An entity as a table with a port for each column; the result of a statement has a double frame."""
+    fill, frame = looks.get(kind, {}).get("fillcolor", "#ffffff"), 2 if name == QUERY_RESULT else 1
+    rows = [f'<TR><TD BGCOLOR="{fill}" PORT="name"><B>{html.escape(name)}</B></TD></TR>']
+    for k, c in enumerate(columns):
+        made = c.get("transformation", {}).get("source_expression")
+        text = html.escape(c["name"]) + (f" <I>{html.escape(_short(made))}</I>" if made else "")
+        rows.append(f'<TR><TD ALIGN="LEFT" PORT="c{k}">{text}</TD></TR>')
+    return f'<<TABLE BORDER="{frame}" CELLBORDER="1" CELLSPACING="0">{"".join(rows)}</TABLE>>'
+
+
+def _short(text: str, most: int = 40) -> str:
+    return text if len(text) <= most else text[: most - 1] + "…"
+
+
+def detailed_dot(document: dict | str, layout: str = "horizontal", styles: dict | None = None) -> str:
+    """DOT text of a comprehensive chain: tables with column ports, a box for what is done between two of them, and lines between columns."""
+    doc = check(document)
+    looks = {k: STYLES.get(k, {}) | (styles or {}).get(k, {}) for k in {*STYLES, *(styles or {})}}
+    nodes, steps = {}, {}
+    for n in documents.walk(doc["chains"]):
+        if not n.get("repeated"):
+            nodes.setdefault(n["entity"], n)
+        for d in n["dependencies"]:
+            own = steps.setdefault((n["entity"], d["entity"]), [])
+            own += [x for t in d.get("transformations", []) for x in step_lines(t) if x not in own]
+    lines = ["digraph lineage {", f"  rankdir={direction(doc['chain_type'], layout)};", '  node [fontname="Helvetica", fontsize=10, shape=plain];']
+    ports: dict[str, str] = {}
+    for name, n in nodes.items():
+        columns = n["metadata"].get("table_columns") or []
+        lines.append(f"  {_quoted(name)} [label={_table(name, n['entity_type'], columns, looks)}];")
+        ports |= {documents.dotted(name, c["name"]): f"{_quoted(name)}:c{k}" for k, c in enumerate(columns)}
+    for k, ((a, b), texts) in enumerate(steps.items()):
+        if texts:
+            box = f'"step {k}"'
+            lines.append(f"  {box} [shape=note, style=filled, fillcolor={_quoted('#fff8c5')}, label={_quoted(chr(10).join(texts))}];")
+            lines += [f"  {_quoted(a)}:name -> {box};", f"  {box} -> {_quoted(b)}:name;"]
+        else:
+            lines.append(f"  {_quoted(a)}:name -> {_quoted(b)}:name;")
+    up = doc["chain_type"] == "upstream"
+    for name, n in nodes.items():
+        for c in n["metadata"].get("table_columns") or []:
+            for origin in c["upstream"]:
+                if origin in ports:
+                    ends = (ports[documents.dotted(name, c["name"])], ports[origin])
+                    lines.append(f"  {ends[not up]} -> {ends[up]} [style=dashed, color={_quoted('#888888')}];")
+    return "\n".join([*lines, "}"])
+
+
 def simple_dot(document: dict | str, layout: str = "horizontal") -> str:
     """DOT text of a table chain or a column chain."""
     doc = check(document)

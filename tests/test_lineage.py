@@ -379,3 +379,46 @@ def test_texts_that_do_not_parse_are_scanned():
     assert row["errors"] and [(e["target"], e["source"]) for e in row["table_edges"]] == scan.edges() and "scan" in row["warnings"][0]
     assert Scan("INSERT INTO w SELECT FROM 'x' JOIN t").edges() == [("w", "t")]
     assert A.row("SELECT FROM WHERE")["table_edges"] == []
+
+
+def diamonds(n):
+    """Each statement, and each CTE, reads the one before it on two ways."""
+    ctes = ["c0 AS (SELECT k, v FROM t)"]
+    for k in range(1, n):
+        ctes += [f"l{k} AS (SELECT k, v FROM c{k - 1} WHERE v > {k})", f"r{k} AS (SELECT k, v FROM c{k - 1} WHERE v < {k})", f"c{k} AS (SELECT l{k}.k, r{k}.v FROM l{k} JOIN r{k} ON l{k}.k = r{k}.k)"]
+    return f"WITH {', '.join(ctes)} SELECT k, v FROM c{n - 1} WHERE k > 0"
+
+
+def test_documents_of_diamonds_stay_small():
+    doc = A.get_lineage_chain(diamonds(40), "upstream")
+    nodes = documents.walk(doc["chains"])
+    assert len(nodes) < 3000 and doc["warnings"] == [documents.ONCE] and doc["summary"]["total_tables"] == 2 + 1 + 39 * 3
+    small = A.get_lineage_chain(diamonds(4), "upstream")
+    assert not small["warnings"] and not any(n.get("repeated") for n in documents.walk(small["chains"])) and sum(n["entity"] == "t" for n in documents.walk(small["chains"])) == 8
+    simple = A.get_table_lineage_chain(diamonds(40), "upstream", 500)
+
+    def size(n):
+        return 1 + sum(map(size, n["dependencies"]))
+
+    assert sum(map(size, simple["chains"].values())) < 4000 and documents.ONCE in simple["warnings"]
+
+
+def test_chains_of_statements_stay_few():
+    sqls = ["CREATE TABLE c0 AS SELECT k FROM t"]
+    for k in range(1, 15):
+        sqls += [f"CREATE TABLE l{k} AS SELECT k FROM c{k - 1}", f"CREATE TABLE r{k} AS SELECT k FROM c{k - 1}", f"CREATE TABLE c{k} AS SELECT l{k}.k FROM l{k} JOIN r{k} ON l{k}.k = r{k}.k"]
+    docs = [A.get_lineage_chain(s, "downstream") for s in sqls]
+    found = combine.chains(docs)
+    assert len(found) == 1 and sorted(found[0]) == list(range(len(sqls)))
+    assert all(found[0].index(k) < found[0].index(k + 1) for k in range(0, len(sqls) - 1, 3))
+    assert len(combine.chains(docs[:7])) == 4
+    assert len(json.dumps(combine.combined_documents(docs))) < 10_000_000
+
+
+def test_detailed_diagrams():
+    doc = A.get_lineage_chain("CREATE TABLE x AS SELECT u.name, sum(o.total) AS spent FROM users u JOIN orders o ON u.id = o.user_id WHERE o.state IN ('a', 'b') GROUP BY u.name HAVING count(*) > 1 ORDER BY u.name LIMIT 5", "upstream")
+    dot = render.detailed_dot(doc)
+    assert dot.startswith("digraph") and dot.count("<TABLE") == 3 and "sum(o.total)" in dot
+    assert "JOIN orders ON users.id = orders.user_id" in dot and "WHERE orders.state IN ('a', 'b')" in dot and "GROUP BY u.name" in dot and "LIMIT 5" in dot
+    assert '"x":name -> "step 0"' in dot and dot.count("style=dashed") == 2
+    assert "<B>a&lt;b</B>" in render.detailed_dot(A.get_lineage_chain('SELECT k FROM "a<b"', "downstream"))
