@@ -21,7 +21,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     while seen[0]:
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "large-min")
-        large = scratch.save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = scratch.save(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         scratch.drop(e, low)
         low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "small-min")
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -11,16 +11,16 @@ verification, and connected components by alternating large-star and small-star.
    set sizes are compared, and what may reach the threshold is confirmed on the full
    sets.  The confirmed links' components follow.
 4. A bucket whose members are in one component is done.  In the others each member
-   outside the bucket's largest component is compared with all members of other
-   components, in blocks of about LEFT such members against RIGHT members.  A row of
-   a block is a document's size and a longer signature of 512 minima, never its set;
-   buckets of the same members are taken once.  Pairs that may reach the threshold
-   are confirmed on the full sets, which are joined to pairs alone.
-5. Blocks are run up to three times.  At first each member names its two likeliest
-   partners, then sixteen; what is confirmed ties components together, and buckets in
-   which some member had more partners than it named are run again with what is not
-   in one component yet.  The last run names all of them.  There is no cap: every pair
-   that shares a bucket is either compared or known to be in one component.
+   outside the bucket's largest component is to be compared with all members of other
+   components, in blocks of such members against members.  First by signatures: a row
+   of a block is a document's size and a longer signature of 512 minima, and what comes
+   back is which members have any partner that may reach the threshold, a row each at
+   most.  Texts that share boilerplate part here, and their sets are never shipped.
+5. Members that have such partners meet once more in smaller blocks, now with their
+   full sets.  A block streams its members past those that it holds, confirms links on
+   the sets, skips pairs that are tied already, and returns a spanning forest of the
+   components alone.  Buckets of the same members are taken once.  There is no cap:
+   every pair that shares a bucket is either compared or known to be in one component.
 
 Sets below ``least`` shingles can only be linked to equal sets, and are left out
 of the banding.
@@ -36,7 +36,6 @@ that name.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,10 +50,10 @@ HASHES, BANDS = 128, 32
 ROWS = HASHES // BANDS
 #: Minima of the longer signatures, of which the first are those of the bands.
 LONG = 512
-#: Members of a block: those that are held, and those that stream past them.
-LEFT, RIGHT = 512, 2048
-#: Partners that a member of a block names, run by run; None: all.
-NAMED = (2, 16, None)
+#: Members of a block of signatures: those that are held, and those that stream past them.
+SIGNED_LEFT, SIGNED_RIGHT = 512, 512
+#: The same for blocks of full sets.
+LEFT, RIGHT = 256, 512
 _U64 = np.uint64
 _RANDOM = np.random.Generator(np.random.PCG64(20240607))
 #: Universal hashes x -> (a x + b) >> 32 of 64-bit values, a odd.
@@ -185,28 +184,16 @@ def components(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     # Buckets of three or more members that are not all in one component.
     placed = scratch.save(inside.where("m > 2").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "placed")
     scratch.drop(inside)
-    labels, sets = found, None
-    for most in NAMED:
-        rest = scratch.save(_mixed(placed, scratch), "rest")
-        if rest.isEmpty():
-            break
-        if sets is None:
-            sets = scratch.save(full_sets(of_nodes(rest.select("node"), "mixed-nodes"), size, signed=True), "signed-sets")
-        near = scratch.save(_blocks(rest, sets.select("node", "n", "signature"), percent, most), "near")
-        more = scratch.save(_confirmed(near.select("a", "b", "ca", "cb").distinct(), sets, percent), "more")
-        links = links.union(more.select("a", "b"))
-        if most is None or near.where("more").isEmpty():
-            break
-        again = near.where("more").select("bucket").distinct()
-        merged = connected_components(more.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch).select(F.col("node").alias("component"), F.col("component").alias("whole"))
-        left = placed.join(again, "bucket", "left_semi").join(scratch.save(merged, "merged"), "component", "left")
-        last, placed = placed, scratch.save(left.select("bucket", "node", F.coalesce("whole", "component").alias("component")), "placed")
-        scratch.drop(rest, near, last)
-    if sets is not None:
-        labels = scratch.save(connected_components(links, scratch), "labels")
-        scratch.drop(sets)
-
-    mine = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    mine = classes.join(found, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    rest = scratch.save(_mixed(placed, scratch), "rest")
+    if not rest.isEmpty():
+        sets = scratch.save(full_sets(of_nodes(rest.select("node"), "mixed-nodes"), size, signed=True), "signed-sets")
+        near = scratch.save(_near(rest, sets.select("node", "n", "signature"), percent).distinct(), "near")
+        ties = scratch.save(_blocks(rest.join(near, ["bucket", "node"], "left_semi"), sets, percent).distinct(), "ties")
+        merged = scratch.save(connected_components(ties, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole")), "merged")
+        scratch.drop(sets, near)
+        mine = mine.join(merged, "component", "left").select("k1", "k2", F.coalesce("whole", "component").alias("component"))
+    scratch.drop(placed, rest)
     of_class = scratch.save(mine, "of-class")
     rows = sketched.select("doc_id", "n", "k1", "k2").join(of_class, ["k1", "k2"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component"))
@@ -235,109 +222,144 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _mixed(placed: DataFrame, scratch: Scratch) -> DataFrame:
-    """bucket, node, component, few, lefts, rights: members of buckets that are not all in one component; ``few`` is outside the largest."""
+    """bucket, node, component, few: members of buckets that are not all in one component; ``few`` is outside the largest."""
     sizes = scratch.save(placed.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("of"), F.min("node").alias("first"), F.max("node").alias("last")), "sizes")
     largest = F.max(F.struct("n", "component"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("m"), F.bit_xor("of").alias("of"), F.min("first").alias("first"), F.max("last").alias("last"), largest["component"].alias("main"), largest["n"].alias("most")).where("m > most")
-    once = mixed.groupBy("m", "of", "first", "last").agg(F.min(F.struct("bucket", "main", "most")).alias("x")).select("x.bucket", "x.main", F.ceil((F.col("m") - F.col("x.most")) / LEFT).alias("lefts"), F.ceil(F.col("m") / RIGHT).alias("rights"))
-    return placed.join(scratch.save(once, "mixed"), "bucket").select("bucket", "node", "component", (F.col("component") != F.col("main")).alias("few"), "lefts", "rights")
+    once = mixed.groupBy("m", "of", "first", "last").agg(F.min(F.struct("bucket", "main")).alias("x")).select("x.bucket", "x.main")
+    return placed.join(scratch.save(once, "mixed"), "bucket").select("bucket", "node", "component", (F.col("component") != F.col("main")).alias("few"))
+
+
+def _dealt(rest: DataFrame, carried: DataFrame, left: int, right: int) -> DataFrame:
+    """Rows of blocks (bucket, x, y), sorted: first those that are held (part 0), then those that pass (part 1).
+
+    The few members of a bucket are dealt over parts of about ``left``, all its
+    members over parts of about ``right``; each left part meets each right part.
+    """
+    size = rest.groupBy("bucket").agg(F.count("*").alias("m"), F.count(F.when(F.col("few"), 1)).alias("f"))
+    size = size.where("f > 0 and m > 1").select("bucket", F.ceil(F.col("f") / left).alias("lefts"), F.ceil(F.col("m") / right).alias("rights"))
+    whole = rest.join(size, "bucket")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    held = whole.where("few").withColumn("y", F.explode(upto("rights"))).select("bucket", own("lefts").alias("x"), "y", F.lit(0).alias("part"), "node", "component", "few")
+    passing = whole.withColumn("x", F.explode(upto("lefts"))).select("bucket", "x", own("rights").alias("y"), F.lit(1).alias("part"), "node", "component", "few")
+    return held.union(passing).join(carried, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "part", "node")
 
 
 class _Block:
-    """Held members of a bucket, and for each the likeliest partners of those that passed (all, where ``most`` is None)."""
+    """Members that are held, and which of them may reach the threshold with one that passes, by size and signature."""
 
-    def __init__(self, bucket: int, percent: int, most: int | None):
-        self.bucket, self.percent, self.most = bucket, percent, most
+    def __init__(self, bucket: int, percent: int):
+        self.bucket, self.percent = bucket, percent
         self.enough = _agreements(percent), _agreements(percent, LONG)
         self.rows: list[tuple] = []
-        self.out: list[tuple] = []  # all partners, or
-        self.best: list[list[tuple]] = []  # heaps of the likeliest
         self.ready = False
 
-    def hold(self, *row) -> None:
-        self.rows.append(row)
+    def hold(self, node: int, component: int, few: bool, size: int, sign: bytes, *more) -> None:
+        self.rows.append((node, component, size, sign, *(x.copy() for x in more)))
 
-    def _start(self) -> None:
+    def start(self) -> None:
         self.ready = True
-        nodes, components, few, sizes, signs = zip(*self.rows) if self.rows else ((), (), (), (), ())
+        nodes, components, sizes, signs, *self.more = zip(*self.rows) if self.rows else ((), (), (), (), ())
         self.nodes, self.components, self.sizes = (np.array(x, np.int64) for x in (nodes, components, sizes))
         self.signs = np.frombuffer(b"".join(signs), np.uint8).reshape(-1, LONG)
         self.heads = np.ascontiguousarray(self.signs[:, :HASHES])
-        self.seen = np.zeros(len(nodes), np.int64)
-        self.least = np.full(len(nodes), -1, np.int64)  # agreements that a further partner must pass
-        self.best = [[] for _ in nodes]
+        self.rows = []
 
-    def meet(self, node: int, component: int, few: bool, size: int, sign: bytes) -> None:
+    def partners(self, node: int, component: int, few: bool, size: int, sign: bytes) -> np.ndarray:
+        """Places of the held members that may be linked to this one."""
         if not self.ready:
-            self._start()
+            self.start()
         other = (self.components != component) & (100 * np.minimum(self.sizes, size) >= self.percent * np.maximum(self.sizes, size))
         if few:  # both sides are held somewhere; one of them compares
             other &= self.nodes < node
         at = np.flatnonzero(other)
         own = np.frombuffer(sign, np.uint8)
         at = at[(self.heads[at] == own[:HASHES]).sum(1) >= self.enough[0]]
-        if not len(at):
-            return
-        agree = (self.signs[at] == own).sum(1)
-        ok = agree >= self.enough[1]
-        at, agree = at[ok], agree[ok]
-        if self.most is None:
-            self.out += [(self.bucket, a, ca, node, component, False) for a, ca in zip(self.nodes[at].tolist(), self.components[at].tolist())]
-            return
-        self.seen[at] += 1
-        better = agree > self.least[at]
-        for k, n in zip(at[better].tolist(), agree[better].tolist()):
-            heap = self.best[k]
-            heapq.heappush(heap, (n, node, component))
-            if len(heap) > self.most:
-                heapq.heappop(heap)
-            if len(heap) == self.most:
-                self.least[k] = heap[0][0]
-
-    def finish(self) -> list[tuple]:
-        for k, heap in enumerate(self.best):
-            more = self.most is not None and bool(self.seen[k] > self.most)
-            self.out += [(self.bucket, int(self.nodes[k]), int(self.components[k]), node, component, more) for _, node, component in sorted(heap)]
-        self.best = []
-        return self.out
-
-
-def _blocks(rest: DataFrame, signed: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """bucket, a, ca, b, cb, more: pairs of different components (ca, cb) that may reach the threshold.
-
-    The few members outside a bucket's largest component are dealt over its
-    ``lefts``, all its members over its ``rights``; each left meets each right.
-    ``more`` says that a had more such partners in the block than it names.
-    """
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
-    held = rest.where("few").withColumn("y", F.explode(upto("rights"))).select("bucket", own("lefts").alias("x"), "y", F.lit(0).alias("part"), "node", "component", "few")
-    passing = rest.withColumn("x", F.explode(upto("lefts"))).select("bucket", "x", own("rights").alias("y"), F.lit(1).alias("part"), "node", "component", "few")
-    near = held.union(passing).join(signed, "node").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "part", "node")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-    names = ["bucket", "a", "ca", "b", "cb", "more"]
+        return at[(self.signs[at] == own).sum(1) >= self.enough[1]] if len(at) else at
+
+
+class _Signed(_Block):
+    """Which members have any partner."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.out: list[tuple] = []
+        self.named: set[int] = set()
+
+    def meet(self, node: int, *row) -> None:
+        at = self.partners(node, *row)
+        if len(at):
+            self.out += [(self.bucket, n) for n in (node, *self.nodes[at].tolist()) if n not in self.named]
+            self.named.update(n for _, n in self.out[-len(at) - 1 :])
+
+
+class _Full(_Block):
+    """Links between components, confirmed on full sets, of a spanning forest."""
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.out: list[tuple] = []
+        self.of: dict[int, int] = {}
+
+    def root(self, c: int) -> int:
+        of = self.of
+        of.setdefault(c, c)
+        while of[c] != c:
+            of[c] = of[of[c]]
+            c = of[c]
+        return c
+
+    def meet(self, node: int, component: int, few: bool, size: int, sign: bytes, shingles: np.ndarray) -> None:
+        for k in self.partners(node, component, few, size, sign).tolist():
+            p, q = self.root(int(self.components[k])), self.root(component)
+            if p == q:
+                continue
+            held = self.more[0][k]
+            common = len(np.intersect1d(held, shingles, assume_unique=True))
+            if 100 * common >= self.percent * (len(held) + len(shingles) - common):
+                self.of[max(p, q)] = min(p, q)
+                self.out.append((p, q))
+
+
+def _run_blocks(rows: DataFrame, kind: type, percent: int, schema: str) -> DataFrame:
+    """What blocks of ``kind`` give; a row is bucket, x, y, part, and what ``hold`` and ``meet`` take."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        def out(block: _Block) -> pa.RecordBatch:
+            made, block.out = block.out, []
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=names)
 
         key, block = None, None
         for batch in small(batches):
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
             parts, *cols = (batch.column(k).to_pylist() for k in range(3, 9))
+            sets = batch.column(9) if batch.num_columns > 9 else None
             for k, own_key in enumerate(keys):
                 if own_key != key:
-                    if block and (rows := block.finish()):
-                        yield batch_of(rows)
-                    key, block = own_key, _Block(own_key[0], percent, most)
-                (block.meet if parts[k] else block.hold)(*(c[k] for c in cols))
-                if len(block.out) > 50_000:
-                    yield batch_of(block.out)
-                    block.out = []
-        if block and (rows := block.finish()):
-            yield batch_of(rows)
-
-    return near.select("bucket", "x", "y", "part", "node", "component", "few", "n", "signature").mapInArrow(run, "bucket long, a long, ca long, b long, cb long, more boolean")
+                    if block and block.out:
+                        yield out(block)
+                    key, block = own_key, kind(own_key[0], percent)
+                more = [] if sets is None else [sets[k].values.to_numpy()]
+                (block.meet if parts[k] else block.hold)(*(c[k] for c in cols), *more)
+        if block and block.out:
+            yield out(block)
+
+    return rows.mapInArrow(run, schema)
+
+
+_ROW = ("bucket", "x", "y", "part", "node", "component", "few", "n", "signature")
+
+
+def _near(rest: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """bucket, node of the members that have a partner by signature."""
+    return _run_blocks(_dealt(rest, signed, SIGNED_LEFT, SIGNED_RIGHT).select(*_ROW), _Signed, percent, "bucket long, node long")
+
+
+def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: components that a confirmed link ties."""
+    return _run_blocks(_dealt(rest, sets, LEFT, RIGHT).select(*_ROW, "shingles"), _Full, percent, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

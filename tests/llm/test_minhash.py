@@ -40,12 +40,10 @@ def test_all_documents(spark, sf, size):
     assert got == brute([tuple(r) for r in docs.collect()], size)
 
 
-@pytest.mark.parametrize("named", [(1, 2, None), (None,)])
-def test_groups_in_blocks(spark, monkeypatch, named):
-    """Many near copies whose links do not all go to one leader, over several blocks and runs."""
-    monkeypatch.setattr(minhash, "LEFT", 4)
-    monkeypatch.setattr(minhash, "RIGHT", 8)
-    monkeypatch.setattr(minhash, "NAMED", named)
+def test_groups_in_blocks(spark, monkeypatch):
+    """Many near copies whose links do not all go to one leader, over several blocks."""
+    for name, n in (("LEFT", 4), ("RIGHT", 8), ("SIGNED_LEFT", 5), ("SIGNED_RIGHT", 7)):
+        monkeypatch.setattr(minhash, name, n)
     r = random.Random(5)
     base = [f"w{k}" for k in range(60)]
     rows = []
@@ -72,14 +70,14 @@ def boilerplate(n, seed=1):
 
 
 def test_boilerplate_ships_no_sets_but_those_of_links(spark, monkeypatch):
-    rows, shipped, confirmed = boilerplate(600), [], minhash._confirmed
+    shipped, blocks = [], minhash._blocks
 
-    def counting(pairs, sets, percent):
-        shipped.append(pairs.count())
-        return confirmed(pairs, sets, percent)
+    def counting(rest, sets, percent):
+        shipped.append(minhash._dealt(rest, sets, minhash.LEFT, minhash.RIGHT).count())
+        return blocks(rest, sets, percent)
 
-    monkeypatch.setattr(minhash, "_confirmed", counting)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(minhash, "_blocks", counting)
+    docs = spark.createDataFrame(boilerplate(600), "doc_id long, text string").repartition(4)
     got = {r[0]: r[1] for r in minhash.near_duplicates(docs, 2).select("doc_id", "nd_component").collect()}
     assert got == {d: d - 7 if d % 50 == 7 else d for d in range(600)}
     assert sum(shipped) < 1200
