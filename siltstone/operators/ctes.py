@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pyspark.sql.functions as F
 
 from .base import Family
@@ -25,8 +27,7 @@ SELECT c.c_name, s.total_orders, s.total_spent, s.segment FROM segments s JOIN c
 
 @query("cte_chain", CHAIN)
 def cte_chain(t):
-    t.views("orders", "customer")
-    return t.spark.sql(CHAIN)
+    return t.sql(CHAIN, "orders", "customer")
 
 
 @query(
@@ -54,8 +55,7 @@ SELECT o_custkey, round(total, 2) AS best_month FROM ranked WHERE k = 1
 
 @query("ctas_cte_pipeline", _CTAS)
 def ctas_cte_pipeline(t):
-    t.views("orders")
-    return t.spark.sql(_CTAS)
+    return t.sql(_CTAS, "orders")
 
 
 _VIEW = """
@@ -67,9 +67,13 @@ SELECT n.n_name, t.tier, CAST(count(*) AS BIGINT) AS customers FROM tiers t JOIN
 
 @query("view_multi_cte", _VIEW)
 def view_multi_cte(t):
-    t.views("orders", "customer", "nation")
-    t.spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW customer_tiers AS {_VIEW}")
-    return t.spark.table("customer_tiers")
+    """The view is registered under a name of its own, which goes once its plan is known."""
+    name = f"customer_tiers_{uuid.uuid4().hex}"
+    t.sql(_VIEW, "orders", "customer", "nation").createTempView(name)
+    try:
+        return t.spark.table(name)
+    finally:
+        t.spark.catalog.dropTempView(name)
 
 
 _RECURSIVE = "WITH RECURSIVE steps(n, total) AS (SELECT 1, 1 UNION ALL SELECT n + 1, total + n + 1 FROM steps WHERE n < 20) SELECT n, total FROM steps"

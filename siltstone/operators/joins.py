@@ -55,7 +55,7 @@ def join_full(t):
 @query("join_cross", "SELECT n.n_name, r.r_name FROM nation n CROSS JOIN region r")
 def join_cross(t):
     """Two fixed lists of 25 and 5 rows; nothing that grows is ever crossed."""
-    return t("nation").crossJoin(F.broadcast(t("region"))).select("n_name", "r_name")
+    return t("nation").crossJoin(t("region")).select("n_name", "r_name")
 
 
 @query("join_multi_cond", "SELECT l.l_orderkey, l.l_linenumber, s.s_name FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey AND l.l_quantity > 30 AND s.s_acctbal > 0 AND l.l_returnflag = 'R'")
@@ -70,16 +70,47 @@ def join_theta(t):
     return a.join(b, F.expr("a.s_nationkey = b.s_nationkey and a.s_acctbal < b.s_acctbal")).select(F.col("a.s_suppkey").alias("less"), F.col("b.s_suppkey").alias("more"))
 
 
-_BINS = 100
+def range_join(points, value: str, ranges, low: str, high: str):
+    """Pairs with low <= value < high, by equality of bins.
+
+    A range falls into bins as wide as itself, to the next power of two, so it
+    meets two of them at most, however wide it is; a point has one bin of each
+    width that occurs, of which there are 64 at most.
+    """
+    width = F.ceil(F.log2(F.greatest(F.col(high) - F.col(low), F.lit(1)).cast("double"))).cast("int")
+    wide = ranges.where(F.col(low) < F.col(high)).withColumn("level_", width)
+    size = F.pow(F.lit(2.0), F.col("level_"))
+    first, last = F.floor(F.col(low) / size).cast("long"), F.floor(F.col(high) / size).cast("long")
+    wide = wide.withColumn("bin_", F.explode(F.sequence(first, last)))
+    levels = wide.agg(F.collect_set("level_")).scalar()
+    dealt = points.where(F.col(value).isNotNull()).withColumn("level_", F.explode(levels)).withColumn("bin_", F.floor(F.col(value) / size).cast("long"))
+    both = dealt.join(wide, ["level_", "bin_"]).where((F.col(value) >= F.col(low)) & (F.col(value) < F.col(high)))
+    return both.drop("level_", "bin_")
 
 
 @query("join_range", "SELECT p.p_partkey, b.tier FROM part p JOIN (VALUES (0, 300, 'low'), (300, 1000, 'mid'), (1000, 100000, 'high')) b(lo, hi, tier) ON p.p_retailprice >= b.lo AND p.p_retailprice < b.hi")
 def join_range(t):
-    """A range join by bins: intervals are spread over the bins that they meet, and points fall into one."""
     tiers = t.spark.createDataFrame([(0, 300, "low"), (300, 1000, "mid"), (1000, 100000, "high")], "lo int, hi int, tier string")
-    spread = tiers.withColumn("bin", F.explode(F.expr(f"sequence(lo div {_BINS}, (hi - 1) div {_BINS})")))
-    p = t("part").withColumn("bin", F.floor(F.col("p_retailprice") / _BINS))
-    return p.join(spread, "bin").where("p_retailprice >= lo and p_retailprice < hi").select("p_partkey", "tier")
+    return range_join(t("part").select("p_partkey", "p_retailprice"), "p_retailprice", tiers, "lo", "hi").select("p_partkey", "tier")
+
+
+_WIDE = "SELECT o_orderkey AS k, o_totalprice - o_orderkey % 97 AS lo, o_totalprice + o_custkey * o_custkey AS hi FROM orders WHERE o_totalprice > 300000"
+
+
+@query("join_range_mixed_widths", f"SELECT s.s_suppkey, r.k FROM supplier s JOIN ({_WIDE}) r ON s.s_acctbal * 50 >= r.lo AND s.s_acctbal * 50 < r.hi")
+def join_range_mixed_widths(t):
+    """Ranges from empty to millions wide."""
+    wide = t("orders").where("o_totalprice > 300000").selectExpr("o_orderkey AS k", "o_totalprice - o_orderkey % 97 AS lo", "o_totalprice + o_custkey * o_custkey AS hi")
+    return range_join(t("supplier").select("s_suppkey", (F.col("s_acctbal") * 50).alias("v")), "v", wide, "lo", "hi").select("s_suppkey", "k")
+
+
+_LATERAL = "SELECT c.c_custkey, x.o_orderkey, x.o_totalprice FROM customer c, LATERAL (SELECT o_orderkey, o_totalprice FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 20) x"
+
+
+@query("join_lateral", _LATERAL)
+def join_lateral(t):
+    """A correlated relation in FROM, which becomes a hash join."""
+    return t.sql(_LATERAL, "customer", "orders")
 
 
 @query(

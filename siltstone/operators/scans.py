@@ -113,16 +113,90 @@ def anti_not_exists(t):
     return t("part").join(li, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
 
 
-@query("quantified_all", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= (SELECT max(p_retailprice) FROM part WHERE p_size < 10)")
+_BOUND = {"<": F.min, "<=": F.min, ">": F.max, ">=": F.max}
+_OTHER = {F.min: F.max, F.max: F.min}
+
+
+def compared_to_all(value, op: str, rows, column: str):
+    """``value op ALL (column of rows)``: true for no rows, never true where one is null; one aggregate, whatever the size."""
+    bound = _BOUND[op](column)
+    of = lambda agg: rows.agg(agg).scalar()
+    holds = {"<": value < of(bound), "<=": value <= of(bound), ">": value > of(bound), ">=": value >= of(bound)}[op]
+    return (of(F.count("*")) == 0) | ((of(F.count_if(F.col(column).isNull())) == 0) & holds)
+
+
+def compared_to_any(value, op: str, rows, column: str):
+    """``value op ANY (column of rows)``: true where it holds for one of them; not for no rows."""
+    bound = rows.agg(_OTHER[_BOUND[op]](column)).scalar()
+    return {"<": value < bound, "<=": value <= bound, ">": value > bound, ">=": value >= bound}[op]
+
+
+def not_in(left, column: str, rows, other: str):
+    """Rows of ``left`` for which ``column NOT IN (other of rows)`` is true: all for no rows, none where one is null, else those not null and not among them.
+
+    A hash anti join on the values that are not null; the two counts decide the rest.
+    """
+    n, nulls = rows.agg(F.count("*")).scalar(), rows.agg(F.count_if(F.col(other).isNull())).scalar()
+    kept = left.where((n == 0) | ((nulls == 0) & F.col(column).isNotNull()))
+    among = rows.select(F.col(other).alias("among_")).where("among_ is not null")
+    return kept.join(among, F.col(column) == F.col("among_"), "left_anti")
+
+
+@query("quantified_all", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size < 10)")
 def quantified_all(t):
-    t.views("part")
-    return t.spark.sql("SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice >= (SELECT max(p_retailprice) FROM part WHERE p_size < 10)")
+    part = t("part")
+    return part.where(compared_to_all(F.col("p_retailprice"), ">=", part.where("p_size < 10"), "p_retailprice")).select("p_partkey", "p_retailprice")
+
+
+@query("quantified_all_of_none", "SELECT p_partkey FROM part WHERE p_retailprice < ALL (SELECT p_retailprice FROM part WHERE p_size < 0)")
+def quantified_all_of_none(t):
+    part = t("part")
+    return part.where(compared_to_all(F.col("p_retailprice"), "<", part.where("p_size < 0"), "p_retailprice")).select("p_partkey")
+
+
+_SOME_NULL = "SELECT CASE WHEN c_nationkey > 2 THEN c_acctbal END AS x FROM customer"
 
 
-@query("quantified_any", "SELECT s_suppkey FROM supplier WHERE s_acctbal > (SELECT min(c_acctbal) FROM customer WHERE c_mktsegment = 'BUILDING')")
+@query("quantified_all_with_nulls", f"SELECT s_suppkey FROM supplier WHERE s_acctbal <= ALL ({_SOME_NULL})")
+def quantified_all_with_nulls(t):
+    some = t("customer").select(F.when(F.col("c_nationkey") > 2, F.col("c_acctbal")).alias("x"))
+    return t("supplier").where(compared_to_all(F.col("s_acctbal"), "<=", some, "x")).select("s_suppkey")
+
+
+@query("quantified_any", "SELECT s_suppkey FROM supplier WHERE s_acctbal > ANY (SELECT c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING')")
 def quantified_any(t):
-    t.views("supplier", "customer")
-    return t.spark.sql("SELECT s_suppkey FROM supplier WHERE s_acctbal > (SELECT min(c_acctbal) FROM customer WHERE c_mktsegment = 'BUILDING')")
+    some = t("customer").where("c_mktsegment = 'BUILDING'")
+    return t("supplier").where(compared_to_any(F.col("s_acctbal"), ">", some, "c_acctbal")).select("s_suppkey")
+
+
+@query("quantified_any_with_nulls", f"SELECT s_suppkey FROM supplier WHERE s_acctbal < ANY ({_SOME_NULL})")
+def quantified_any_with_nulls(t):
+    some = t("customer").select(F.when(F.col("c_nationkey") > 2, F.col("c_acctbal")).alias("x"))
+    return t("supplier").where(compared_to_any(F.col("s_acctbal"), "<", some, "x")).select("s_suppkey")
+
+
+_MAYBE = "SELECT p_partkey, CASE WHEN p_size > 5 THEN p_size END AS s FROM part"
+
+
+@query("anti_not_in_nulls_left", f"SELECT p_partkey FROM ({_MAYBE}) WHERE s NOT IN (SELECT l_linenumber + 20 FROM lineitem)")
+def anti_not_in_nulls_left(t):
+    """A null on the left is in no answer, as it is neither in nor not in."""
+    maybe = t("part").select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_size")).alias("s"))
+    return not_in(maybe, "s", t("lineitem").select((F.col("l_linenumber") + 20).alias("x")), "x").select("p_partkey")
+
+
+@query("anti_not_in_nulls_right", f"SELECT l_orderkey FROM lineitem WHERE l_linenumber NOT IN (SELECT s FROM ({_MAYBE}))")
+def anti_not_in_nulls_right(t):
+    """A null on the right leaves no row."""
+    maybe = t("part").select(F.when(F.col("p_size") > 5, F.col("p_size")).alias("s"))
+    return not_in(t("lineitem"), "l_linenumber", maybe, "s").select("l_orderkey")
+
+
+@query("anti_not_in_none", "SELECT p_partkey FROM part WHERE CASE WHEN p_size > 5 THEN p_size END NOT IN (SELECT p_size FROM part WHERE p_size < 0)")
+def anti_not_in_none(t):
+    """Nothing is in an empty set, not even a null."""
+    maybe = t("part").select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_size")).alias("s"))
+    return not_in(maybe, "s", t("part").where("p_size < 0"), "p_size").select("p_partkey")
 
 
 _CORRELATED = "SELECT c.c_custkey, (SELECT max(o.o_totalprice) FROM orders o WHERE o.o_custkey = c.c_custkey) AS largest FROM customer c"
@@ -130,8 +204,7 @@ _CORRELATED = "SELECT c.c_custkey, (SELECT max(o.o_totalprice) FROM orders o WHE
 
 @query("scalar_correlated", _CORRELATED)
 def scalar_correlated(t):
-    t.views("customer", "orders")
-    return t.spark.sql(_CORRELATED)
+    return t.sql(_CORRELATED, "customer", "orders")
 
 
 @query("having", "SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10 AND max(o_totalprice) > 1000")
@@ -139,7 +212,7 @@ def having(t):
     return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")).where("n > 10 and top > 1000").select("o_custkey", "n")
 
 
-@query("qualify", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
+@query("qualify", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1")
 def qualify(t):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return t("orders").withColumn("k", F.row_number().over(w)).where("k = 1").select("o_custkey", "o_orderkey")
@@ -164,11 +237,11 @@ def delete_emulation(t):
 
 @query(
     "merge_emulation",
-    "WITH s AS (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_custkey % 2 = 0 GROUP BY 1), tgt AS (SELECT c_custkey AS k, CAST(0 AS BIGINT) AS n FROM customer WHERE c_custkey % 3 = 0) SELECT coalesce(tgt.k, s.k) AS k, CASE WHEN s.k IS NOT NULL AND tgt.k IS NOT NULL THEN tgt.n + s.n WHEN s.k IS NOT NULL THEN s.n ELSE tgt.n END AS n FROM tgt FULL JOIN s ON tgt.k = s.k",
+    "WITH s AS (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), tgt AS (SELECT c_custkey AS k, CAST(0 AS BIGINT) AS n FROM customer WHERE c_mktsegment <> 'BUILDING') SELECT coalesce(tgt.k, s.k) AS k, CASE WHEN s.k IS NOT NULL AND tgt.k IS NOT NULL THEN tgt.n + s.n WHEN s.k IS NOT NULL THEN s.n ELSE tgt.n END AS n FROM tgt FULL JOIN s ON tgt.k = s.k",
 )
 def merge_emulation(t):
     """A merge: matched rows are updated, rows of the source alone are inserted, the rest stays."""
-    s = t("orders").where("o_custkey % 2 = 0").groupBy(F.col("o_custkey").alias("sk")).agg(F.count("*").alias("sn"))
-    tgt = t("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("tk"), F.lit(0).cast("long").alias("tn"))
+    s = t("orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("sk")).agg(F.count("*").alias("sn"))
+    tgt = t("customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("tk"), F.lit(0).cast("long").alias("tn"))
     n = F.when(F.col("sk").isNotNull() & F.col("tk").isNotNull(), F.col("tn") + F.col("sn")).when(F.col("sk").isNotNull(), F.col("sn")).otherwise(F.col("tn"))
     return tgt.join(s, F.col("tk") == F.col("sk"), "full").select(F.coalesce("tk", "sk").alias("k"), n.alias("n"))

@@ -15,11 +15,11 @@ def sort_limit(t):
     return t("orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(25)
 
 
-@query("sort_nulls", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON c_custkey = o_custkey) ORDER BY o_orderkey ASC NULLS FIRST, c_custkey DESC LIMIT 40")
+@query("sort_nulls", "SELECT c_custkey, o_orderkey FROM (SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON c_custkey = o_custkey) ORDER BY o_orderkey ASC NULLS FIRST, c_custkey DESC")
 def sort_nulls(t):
     big = t("orders").where("o_totalprice > 250000")
     both = t("customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey")
-    return both.orderBy(F.col("o_orderkey").asc_nulls_first(), F.desc("c_custkey")).limit(40)
+    return both.orderBy(F.col("o_orderkey").asc_nulls_first(), F.desc("c_custkey"))
 
 
 @query("limit_offset", "SELECT p_partkey, p_name FROM part ORDER BY p_retailprice, p_partkey LIMIT 10 OFFSET 5")

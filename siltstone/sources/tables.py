@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .session import ship
@@ -17,7 +19,8 @@ class Tables:
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def views(self, *names: str) -> None:
-        """Registers temporary views, for queries written as SQL text."""
+    def sql(self, text: str, *names: str) -> DataFrame:
+        """A query written as SQL text over the named tables; nothing is registered in the session."""
         for n in names:
-            self(n).createOrReplaceTempView(n)
+            text = re.sub(rf"(\b(?:FROM|JOIN)\s+|,\s*){n}\b(?!\s*\.)", rf"\g<1>{{{n}}}", text)
+        return self.spark.sql(text, **{n: self(n) for n in names})

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from siltstone.lineage.corpus import Corpus, parse_statements
@@ -24,6 +24,29 @@ def stream_table_edges(statements: DataFrame, folder: str, checkpoint: str, dial
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def read_stream(table: DataFrame, spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stream of the files of ``name``.parquet, a file or a folder of files; ``table`` gives its columns."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    reader = spark.readStream.schema(table.schema)
+    return reader.parquet(f"{folder}/{name}.parquet") if whole else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def write_last(windows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """All windows after each batch, as one table of that batch; what is there now is read to its end."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return windows.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_written(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of the last batch that ``write_last`` wrote."""
+    every = spark.read.option("basePath", folder).parquet(f"{folder}/batch=*")
+    return every.where(F.col("batch") == every.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None, time_col: str = "ts", by: str = "event_type", value: str = "value") -> DataFrame:
     """Counts and sums by time window; rows later than ``late`` are dropped, state older than that is freed.
 

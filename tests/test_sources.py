@@ -57,3 +57,26 @@ def test_code_is_shipped_once(spark):
     before = spark.sparkContext.listFiles
     ship(spark)
     assert spark.sparkContext.listFiles == before and any("siltstone-code" in f for f in before)
+
+
+def test_rows_of_topics(spark):
+    from siltstone.sources import formats
+
+    rows = spark.createDataFrame([(1, "a", None), (2, None, 2.5)], "k long, t string, x double")
+    sent = formats.topic_rows(rows, "k")
+    assert [r["key"] for r in sent.orderBy("key").collect()] == ["1", "2"] and formats.topic_rows(rows, None).first()["key"] is None
+    received = sent.selectExpr("CAST(key AS BINARY) AS key", "CAST(value AS BINARY) AS value", "3 AS partition", "7L AS offset", "timestamp'2024-01-01' AS timestamp")
+    odd = spark.createDataFrame([(b"q", b"not json")], "key binary, value binary").selectExpr("*", "0 AS partition", "0L AS offset", "timestamp'2024-01-01' AS timestamp")
+    got = formats.parsed_values(received.union(odd), "k long, t string, x double").select("k", "t", "x", "record_key", "record_offset").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, "a", None, "1", 7), (2, None, 2.5, "2", 7), (None, None, None, "q", 0)], key=str)
+    with pytest.raises(RuntimeError, match="kafka"):
+        formats.read_topic(spark, "nowhere:9092", "t", "k long")
+
+
+def test_queries_leave_no_views(spark, sf):
+    from siltstone.plans import registry
+
+    before = {t.name for t in spark.catalog.listTables()}
+    for name in ("cte_chain", "view_multi_cte", "scalar_correlated", "join_lateral"):
+        assert registry.QUERIES[name](spark, sf).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before
