@@ -16,10 +16,13 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from siltstone.sources.session import ship
 
+from . import documents
 from .dialects import parse_any
 from .extract import CircularDependencyError, extract
 from .fallback import Scan
 from .naming import QUERY_RESULT, clean
+from .parser import MOST_LEVELS, deep
+from .statements import describe
 from .syntax import SqlSyntaxError
 from .validation import checked_dialect, sql_error
 
@@ -100,6 +103,80 @@ def parse_statements(statements: DataFrame, dialect: str = "trino", mode: str =
     return statements.select(F.col(id_col).cast("long"), F.col(sql_col).cast("string")).mapInArrow(run, from_arrow_schema(PARSED))
 
 
+def _each(statements: DataFrame, dialect: str, id_col: str, sql_col: str, kinds: pa.Schema, rows_of) -> DataFrame:
+    """The rows that ``rows_of(sql, dialect)`` gives for each statement, with its id; a text that can't be parsed has none."""
+    ship(statements.sparkSession)
+    dialect = checked_dialect(dialect)
+    names = kinds.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, sql in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(i, *r) for r in rows_of(sql, dialect)]
+            columns = zip(*rows) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    return statements.select(F.col(id_col).cast("long"), F.col(sql_col).cast("string")).mapInArrow(run, from_arrow_schema(kinds))
+
+
+def chain_nodes(statements: DataFrame, chain_type: str = "upstream", dialect: str = "trino", id_col: str = "stmt_id", sql_col: str = "sql") -> DataFrame:
+    """stmt_id, entity, entity_type, depth, parent: the nodes of each statement's chain document, made on the executors."""
+    kinds = pa.schema([("stmt_id", pa.int64()), ("entity", _TEXT), ("entity_type", _TEXT), ("depth", pa.int64()), ("parent", _TEXT)])
+
+    def rows_of(sql: str | None, dialect: str) -> Iterator[tuple]:
+        row = parsed_row(0, sql, dialect)
+        if row["errors"]:
+            return
+        left = [(n, None) for n in reversed(documents.lineage_chain(row, chain_type)["chains"].values())]
+        while left:
+            n, parent = left.pop()
+            yield n["entity"], n["entity_type"], n["depth"], parent
+            left += [(d, n["entity"]) for d in reversed(n["dependencies"])]
+
+    return _each(statements, dialect, id_col, sql_col, kinds, rows_of)
+
+
+def clauses(statements: DataFrame, dialect: str = "trino", id_col: str = "stmt_id", sql_col: str = "sql") -> DataFrame:
+    """stmt_id, clause, ordinal, text: each entry of the outermost clauses (of a set operation, of its first branch)."""
+    kinds = pa.schema([("stmt_id", pa.int64()), ("clause", _TEXT), ("ordinal", pa.int64()), ("text", _TEXT)])
+
+    def condition(c: dict) -> str:
+        return " ".join(x for x in (c["column"], c["operator"], c["value"]) if x)
+
+    def rows_of(sql: str | None, dialect: str) -> Iterator[tuple]:
+        if sql_error(sql):
+            return
+        try:
+            statement, used = parse_any(sql, dialect)
+            with deep(MOST_LEVELS):
+                told = describe(statement, used)
+        except (SqlSyntaxError, RecursionError):
+            return
+        q = told.get("query") or {}
+        tail = {k: q.get(k) for k in ("order_by", "limit", "offset")}
+        q = (q["branches"][0] if "branches" in q else q) | {k: v for k, v in tail.items() if v}
+        parts = {
+            "cte": [c["name"] for c in told.get("ctes", [])],
+            "select": [c["expression"] for c in q.get("select_columns", [])],
+            "set": [f"{c['column']} = {c['value']}" for c in told.get("set_clauses", [])],
+            "from": [x["table"] or x["alias"] for x in q.get("from_tables", [])] or told.get("from_tables", []),
+            "join": [f"{j['join_type']} {j['right_table']}" for j in q.get("joins", []) or told.get("joins", [])],
+            "where": [condition(c) for c in q.get("where_conditions", []) or told.get("where_conditions", [])],
+            "group_by": q.get("group_by", []),
+            "having": [condition(c) for c in q.get("having_conditions", [])],
+            "order_by": [f"{o['column']} {o['direction']}" for o in q.get("order_by", [])],
+            "limit": [q["limit"]] if q.get("limit") else [],
+            "offset": [q["offset"]] if q.get("offset") else [],
+            "returning": told.get("returning", []),
+        }
+        for clause, texts in parts.items():
+            for k, text in enumerate(texts):
+                yield clause, k, text
+
+    return _each(statements, dialect, id_col, sql_col, kinds, rows_of)
+
+
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
     """stmt_id, sql, path: one statement a file, of a file, a folder or a glob."""
     files = spark.read.text(path, wholetext=True).select(F.col("value").alias("sql"), F.input_file_name().alias("path"))

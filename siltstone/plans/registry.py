@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siltstone.functions import scalars, userdefined
 from siltstone.operators import aggregates, ctes, joins, scans, setops, windows
-from siltstone.plans import lineage_queries
+from siltstone.plans import generated_queries, lineage_queries
 from siltstone.streaming import queries as streams
 
-FAMILIES = [f.family for f in (scans, joins, aggregates, windows, setops, ctes, scalars, userdefined, lineage_queries, streams)]
+FAMILIES = [f.family for f in (scans, joins, aggregates, windows, setops, ctes, scalars, userdefined, lineage_queries, generated_queries, streams)]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
