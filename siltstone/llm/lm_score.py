@@ -12,11 +12,17 @@ is no log-probability; ranks are turned into one by Zipf's law,
 counts of the pieces over the training words (one forward-backward pass under
 those weights) are added to the prior's ``strength`` pseudo-counts; the
 vocabulary itself is never trained.  Bytes outside the vocabulary are spelled by
-its byte pieces, so every text has a probability above 0.
+its byte pieces, so every text has a probability above 0.  With ``word_edges`` a
+word that was seen c times among the N training tokens has one more edge, over the
+whole word, of the weight c / (N + V), V being the number of distinct words; its
+segmentations share the rest, V / (N + V) (the estimate of Witten and Bell).
+
+A text is scored as its sequence of tokens: a piece may begin with the mark of a
+word's beginning, and which white space stands between words does not count.
 
 The data.  Training counts, piece counts and document sums cover all rows.
-Words of the highest counts (at most ``hot`` of them, long ones by their digest)
-are broadcast, and most tokens of a document are summed where it is read; the rest
+Words of the highest counts (as many as fit into ``hot_bytes``, at most 256 bytes
+each, long ones by their digest) are broadcast, and most tokens of a document are summed where it is read; the rest
 are shuffled as (document, word, count) and joined with the word table.  Words in
 the broadcast are those above a count that a histogram of counts gives, so that
 no more than they reach the driver; any other word is rarer, and no join key hot.
@@ -25,7 +31,8 @@ Defined cases: a null or empty text is the end token alone; repeated rows and
 doc_ids are scored and learned from as often as they occur; a null doc_id is
 neither held out nor dropped; with no training rows every count is 0 and the
 weights are the prior's; an empty table gives no rows.  Other columns are not
-read, whatever their names.
+read, whatever their names.  Very long texts and words are scored whole; a task
+hands on its counts once its words take COUNT_BYTES.
 """
 
 from __future__ import annotations
@@ -49,8 +56,10 @@ END = b""
 _MARK = "▁".encode()
 
 
-#: Longer words are broadcast as digests.
-LONG = 64
+#: Longer words are broadcast as digests; what a broadcast word takes at most.
+LONG, HOT_WORD = 64, 256
+#: Words that a task counts before it hands them on, and bytes of them.
+COUNT_WORDS, COUNT_BYTES = 300_000, 64 << 20
 
 
 def short(word: bytes) -> bytes:
@@ -208,7 +217,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     own.update(tokens(text))
                 else:
                     rest.update(tokens(text))
-            if len(own) + len(rest) > 300_000:
+            if len(own) + len(rest) > COUNT_WORDS or sum(map(len, own)) + sum(map(len, rest)) > COUNT_BYTES:
                 yield out(own, rest)
                 own, rest = Counter(), set()
         yield out(own, rest)
@@ -243,7 +252,7 @@ def adapted(words: DataFrame, names: list[bytes], prior: np.ndarray, strength: f
     return np.log(total / total.sum())
 
 
-def score_documents(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_id", text_col: str = "text", adapt: bool = True, strength: float = 10_000.0, hot: int = 1 << 17) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_id", text_col: str = "text", adapt: bool = True, strength: float = 10_000.0, word_edges: bool = True, hot_bytes: int = 48 << 20) -> DataFrame:
     """One row for each of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     ``train`` is a condition on the columns of ``docs``.  base_score is the
@@ -257,13 +266,23 @@ def score_documents(docs: DataFrame, vocabulary: str, train, id_col: str = "doc_
     names, logp = load_vocabulary(vocabulary)
     if adapt and total:
         logp = adapted(words, names, logp, strength)
-    model = spark.sparkContext.broadcast((names, logp))
+    model, hot = spark.sparkContext.broadcast((names, logp)), hot_bytes // HOT_WORD
+    whole = total + distinct if word_edges and total else 0
+    rest = math.log(distinct / whole) if whole else 0.0
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
+
+        def probability(word: bytes, c: int) -> float:
+            p = lattice.log_marginal(word) + rest
+            if whole and c:
+                own = math.log(c / whole)
+                p = max(p, own) + math.log1p(math.exp(-abs(p - own)))
+            return p / math.log(10)
+
         for batch in small(batches):
             every = batch.column(0).to_pylist()
-            p = [lattice.log_marginal(w) / math.log(10) for w in every]
+            p = list(map(probability, every, batch.column(1).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array(map(short, every), pa.binary())], names=["word", "c", "p", "key"])
 
     known = scratch.save(words.mapInArrow(marginals, "word binary, c long, p double, key binary"), "scored")
