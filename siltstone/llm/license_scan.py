@@ -9,6 +9,8 @@ The known digests are broadcast only while they are at most ``most_broadcast``
 rows, which is counted; a longer list is joined by shuffle, from files, so that a
 text which many documents share is split at run time.
 
+Lines end at line feeds and carriage returns.
+
 Defined cases: a null text has a null digest and no licence; an empty text, or one
 of copyright lines and punctuation alone, has the digest of the empty text and no
 licence; repeated documents are looked up alike; of known texts with the same
@@ -26,28 +28,62 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from .common import Scratch, table
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# A line of a reflowed text may begin by "copyright notice"; a mark, a year or a blank to fill in makes it a claim.
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|\d|by\b|[<\[{])|\(c\)|©|all rights reserved\b)[^\n]*$"
+# A line of a reflowed text may begin by "copyright notice", and a clause by (c); a mark, a year or a blank to fill in makes it a claim.
+COPYRIGHT_LINE = r"^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(\(c\)|©|\d|by\b|[<\[{])|\(c\)[^a-z0-9\n]*(copyright|\d)|©|all rights reserved\b)[^\n]*$"
 # ASCII signs and the typographic ones that stand for them; what is no word.
 SIGNS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F©®–—‘’“”…]+"
-# Spellings that licence matching takes as equal.
+# Words, and words in a row, that licence matching takes as equal.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
+    ("analyse", "analyze"),
+    ("artefact", "artifact"),
     ("authorisation", "authorization"),
     ("authorised", "authorized"),
+    ("calibre", "caliber"),
+    ("cancelled", "canceled"),
+    ("capitalisations", "capitalizations"),
+    ("catalogue", "catalog"),
+    ("categorise", "categorize"),
+    ("centre", "center"),
+    ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
+    ("emphasised", "emphasized"),
     ("favour", "favor"),
     ("favourable", "favorable"),
+    ("favourite", "favorite"),
     ("fulfil", "fulfill"),
+    ("fulfilment", "fulfillment"),
+    ("initialise", "initialize"),
     ("judgement", "judgment"),
+    ("labelling", "labeling"),
+    ("labour", "labor"),
     ("licence", "license"),
     ("licenced", "licensed"),
+    ("licences", "licenses"),
+    ("maximise", "maximize"),
     ("merchantibility", "merchantability"),
+    ("modelled", "modeled"),
+    ("modelling", "modeling"),
+    ("non commercial", "noncommercial"),
+    ("non infringement", "noninfringement"),
+    ("offence", "offense"),
+    ("optimise", "optimize"),
     ("organisation", "organization"),
+    ("organise", "organize"),
+    ("per cent", "percent"),
+    ("practise", "practice"),
+    ("programme", "program"),
+    ("realise", "realize"),
+    ("recognise", "recognize"),
     ("recognised", "recognized"),
+    ("signalling", "signaling"),
+    ("sub license", "sublicense"),
+    ("sub licence", "sublicense"),
     ("sublicence", "sublicense"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
+    ("wilful", "willful"),
 ]
 
 _AS_IS = (
@@ -104,13 +140,19 @@ def whole_texts() -> list[tuple[str, str]]:
     return [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt"))]
 
 
+def _spaced(words: str) -> str:
+    """Words as they stand between others while spellings are replaced."""
+    return f" {words.replace(' ', '  ')} "
+
+
 def canonical(text: Column) -> Column:
     """The text's words in one spelling, a space between each two."""
-    lines = F.regexp_replace(F.translate(text, _UPPER, _LOWER), COPYRIGHT_LINE, "")
+    # Lines end at line feeds and at carriage returns, which become line feeds.
+    lines = F.regexp_replace(F.translate(text, _UPPER + "\r", _LOWER + "\n"), "(?dm)" + COPYRIGHT_LINE, "")
     # Two spaces between words and one at each end let neighbours be replaced on their own.
     spaced = F.concat(F.lit(" "), F.regexp_replace(lines, SIGNS, "  "), F.lit(" "))
     for one, other in EQUIVALENT:
-        spaced = F.replace(spaced, F.lit(f" {one} "), F.lit(f" {other} "))
+        spaced = F.replace(spaced, F.lit(_spaced(one)), F.lit(_spaced(other)))
     return F.trim(F.replace(spaced, F.lit("  "), F.lit(" ")))
 
 
@@ -151,15 +193,47 @@ def _quoted(text: str) -> str:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"' ' || regexp_replace(regexp_replace(translate({text}, '{_UPPER}', '{_LOWER}'), {_quoted(COPYRIGHT_LINE)}, '', 'g'), {_quoted(SIGNS)}, '  ', 'g') || ' '"
+    out = f"' ' || regexp_replace(regexp_replace(translate({text}, '{_UPPER}' || chr(13), '{_LOWER}' || chr(10)), {_quoted('(?m)' + COPYRIGHT_LINE)}, '', 'g'), {_quoted(SIGNS)}, '  ', 'g') || ' '"
     for one, other in EQUIVALENT:
-        out = f"replace({out}, ' {one} ', ' {other} ')"
+        out = f"replace({out}, '{_spaced(one)}', '{_spaced(other)}')"
     return f"trim(replace({out}, '  ', ' '), ' ')"
 
 
-OP6_SQL = f"""
-WITH known(name, body) AS (VALUES {', '.join(f'({_quoted(n)}, {_quoted(t)})' for n, t in KNOWN)}),
+def _sql(known: list[tuple[str, str]], documents: str) -> str:
+    return f"""
+WITH known(name, body) AS (VALUES {', '.join(f'({_quoted(n)}, {_quoted(t)})' for n, t in known)}),
 digests AS (SELECT sha256({_sql_canonical('body')}) AS d, min(name) AS name FROM known GROUP BY 1),
-docs AS (SELECT doc_id, sha256({_sql_canonical('text')}) AS d FROM documents)
+docs AS (SELECT doc_id, sha256({_sql_canonical('text')}) AS d FROM ({documents}))
 SELECT doc_id, docs.d AS canonical_sha256, name AS license FROM docs LEFT JOIN digests ON docs.d = digests.d
 """
+
+
+OP6_SQL = _sql(KNOWN, "SELECT doc_id, text FROM documents")
+
+# Known texts in other clothes: how each is written in DataFrame functions and in SQL.
+_CLOTHES = [
+    (lambda text: text, "body"),
+    (lambda text: F.upper(text), "upper(body)"),
+    (lambda text: F.concat(F.lit("Copyright (c) 2020, 2021 Some Body\r\n\r\n"), F.replace(text, F.lit("\n"), F.lit("\r\n * "))), "'Copyright (c) 2020, 2021 Some Body' || chr(13) || chr(10) || chr(13) || chr(10) || replace(body, chr(10), chr(13) || chr(10) || ' * ')"),
+    (lambda text: F.replace(F.replace(text, F.lit(" license "), F.lit(" licence ")), F.lit("copyright holder"), F.lit("copyright owner")), "replace(replace(body, ' license ', ' licence '), 'copyright holder', 'copyright owner')"),
+    (lambda text: F.concat(text, F.lit(" And one sentence more.")), "body || ' And one sentence more.'"),
+]
+
+
+def license_known_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and, with ids below 0, each known text as it is, in capitals, as a comment under a copyright line, in British spelling, and with a sentence more."""
+    known = [*KNOWN, *whole_texts()]
+    body = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(known)], "k long, text string")
+    dressed = [body.select((-(F.col("k") * len(_CLOTHES) + n + 1)).alias("doc_id"), dress(F.col("text")).alias("text")) for n, (dress, _) in enumerate(_CLOTHES)]
+    out = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for rows in dressed:
+        out = out.union(rows)
+    out = scan_licenses(out)
+    return out.select("doc_id", F.col("ls_digest").alias("canonical_sha256"), F.col("ls_license").alias("license"))
+
+
+def known_texts_sql() -> str:
+    known = [*KNOWN, *whole_texts()]
+    rows = ", ".join(f"({k}, {_quoted(t)})" for k, (_, t) in enumerate(known))
+    dressed = " UNION ALL ".join(f"SELECT -(k * {len(_CLOTHES)} + {n + 1}) AS doc_id, {sql} AS text FROM (VALUES {rows}) b(k, body)" for n, (_, sql) in enumerate(_CLOTHES))
+    return _sql(known, f"SELECT doc_id, text FROM documents UNION ALL {dressed}")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op10_decontamination
-from .license_scan import OP6_SQL, op6_license_scan
+from .license_scan import OP6_SQL, known_texts_sql, license_known_texts, op6_license_scan
 from .lm_score import op8_lm_score
 from .media import op2_media
 from .minhash import op4_minhash
@@ -24,5 +24,6 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
+    "license_known_texts": license_known_texts,
 }
-ORACLES: dict[str, str] = {"op6_license_scan": OP6_SQL, "op9_url_filter": OP9_SQL}
+ORACLES: dict[str, str] = {"op6_license_scan": OP6_SQL, "op9_url_filter": OP9_SQL, "license_known_texts": known_texts_sql()}

@@ -16,6 +16,20 @@ def test_all_documents(spark, sf, duck):
     same(ls.op6_license_scan(spark, sf), duck, ls.OP6_SQL)
 
 
+def test_known_texts_in_other_clothes(spark, sf, duck):
+    same(ls.license_known_texts(spark, sf), duck, ls.known_texts_sql())
+    rows = {r["doc_id"]: r["license"] for r in ls.license_known_texts(spark, sf).where("doc_id < 0").collect()}
+    names = [n for n, _ in [*ls.KNOWN, *ls.whole_texts()]]
+    for k, name in enumerate(names):
+        assert [rows[-(k * 5 + n + 1)] for n in range(5)] == [name] * 4 + [None]
+
+
+def test_words_in_a_row_and_carriage_returns(spark):
+    docs = spark.createDataFrame([(0, "Per cent per-cent, THE COPYRIGHT OWNERS sub-licence non-infringement"), (1, "Copyright 2020 X\rall rights reserved\rtext\u2028copyright 2020 y"), (2, "copyright owner copyright owner per cent")], "doc_id long, text string")
+    got = [r[0] for r in docs.orderBy("doc_id").select(ls.canonical(docs.text)).collect()]
+    assert got == ["percent percent the copyright holders sublicense noninfringement", "text\u2028copyright 2020 y", "copyright holder copyright holder percent"]
+
+
 def test_spellings_of_one_text(spark):
     texts = [MIT, MIT.upper(), "Copyright (c) 2020 Some Body\n\n" + MIT, "  (C) 1999, 2001 X. All rights reserved.\n© 2010 Y\n" + MIT.replace("sublicense", "sublicence").replace('"', "“"), MIT.replace(" ", "\n\n  "), MIT + " more", MIT[:-20], None, "", "Copyright 2020", "…!?", "released under the mit license"]
     assert found(spark, texts) == ["MIT"] * 5 + [None] * 6 + ["MIT"]
