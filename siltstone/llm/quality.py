@@ -14,8 +14,11 @@ text once, without a shuffle; what is broadcast is the weights, 8 * 2**bits byte
 
 Defined cases: a null or empty text has no n-grams and scores as the bias alone;
 null labels and labels of unknown documents are left out; a document with
-several labels is learned from each; equal texts score alike; without labels
-every score is 0.5; an empty table gives no rows.
+several labels is learned from each; of a labelled id with many rows at most
+``max_texts`` are learned from; rows without an id are scored, and learned from by
+no label; a text of any length is scored whole; equal texts score alike; without
+labels every score is 0.5; an empty table gives no rows.  ``score`` keeps all
+columns but one of the name that it adds (in any case, as Spark compares names).
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import types as T
 
 from .common import SPACE_TABLE, encoded, hashed_texts, mix, prepare, small, table, word_spans
@@ -131,14 +134,17 @@ def scores(texts: list[bytes], weights: np.ndarray, bits: int = BITS) -> np.ndar
     return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 8_000, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Weights learned from at most ``max_rows`` labelled documents, in the order of their ids' hashes."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 8_000, max_texts: int = 4, bits: int = BITS, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Weights learned from at most ``max_rows`` labels, and ``max_texts`` rows of ``docs`` for each, in the order of their ids' hashes."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     # Hashes are even over 64 bits: a few more than max_rows are below this one, and no more are sorted.
     below = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.25 * max_rows / max(1, usable.count()))))
     picked = usable.where(F.xxhash64("id") <= below).orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
     bounded = F.broadcast(picked)  # max_rows rows of an id and a label at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(bounded, "id")
+    # An id that very many rows repeat is cut before it is shuffled.
+    order = F.row_number().over(Window.partitionBy("id", "label").orderBy(F.xxhash64("text"), "text"))
+    rows = rows.withColumn("nth", order).where(F.col("nth") <= max_texts)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Row] = []

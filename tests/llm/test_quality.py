@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -37,6 +38,58 @@ def test_odd_rows(spark):
     assert quality.score(docs, w).columns == ["doc_id", "text", "label", "score"]
 
 
+def test_an_id_that_many_rows_repeat_is_learned_from_a_few_times(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "other words")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    few = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "other words")], "doc_id long, text string").repartition(2)
+    w = quality.train(docs, labels)
+    assert np.array_equal(w, quality.train(few, labels)) and not np.array_equal(w, quality.train(docs, labels, max_texts=1))
+
+
+def brute_scores(docs, labels):
+    """Weights and scores by dictionaries, a slot at a time."""
+    def grams(text):
+        out = {}
+        (_, _, slots, _), = quality.features([(text or "").encode()])
+        for s in slots.tolist():
+            out[s] = out.get(s, 0) + 1
+        return out
+
+    def row(text):
+        g = grams(text)
+        return {**{s: n * quality.SCALE / max(1, sum(g.values())) for s, n in g.items()}, "bias": 1.0}
+
+    z, n = {}, {}
+
+    def weight(s):
+        if abs(z.get(s, 0.0)) <= 1e-4:
+            return 0.0
+        return -(z[s] - math.copysign(1e-4, z[s])) / (1 + math.sqrt(n[s]) + 1e-3)
+
+    for _ in range(3):
+        for text, y in docs:
+            x = row(text)
+            w = {s: weight(s) for s in x}
+            g = 1 / (1 + math.exp(-sum(w[s] * v for s, v in x.items()))) - y
+            for s, v in x.items():
+                step = math.sqrt(n.get(s, 0) + (g * v) ** 2) - math.sqrt(n.get(s, 0))
+                z[s] = z.get(s, 0) + g * v - step * w[s]
+                n[s] = n.get(s, 0) + (g * v) ** 2
+    return lambda text: 1 / (1 + math.exp(-sum(weight(s) * v for s, v in row(text).items())))
+
+
+def test_trained_scores_against_dictionaries(spark, sf):
+    import pyspark.sql.functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~quality.held_out())
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    rows = [(r["text"], r["quality"]) for r in docs.join(labels.where("quality in (0, 1)"), "doc_id").orderBy(*order).collect()]
+    want = brute_scores(rows, None)
+    got = quality.op3_quality(spark, sf).join(docs, "doc_id").select("text", "score").collect()
+    assert max(abs(want(t) - s) for t, s in got) < 1e-9
+
+
 def test_scores_are_dot_products():
     r = np.random.default_rng(1)
     w = r.normal(size=(1 << 10) + 1)
