@@ -4,7 +4,10 @@ Spark data source that reads such archives back.
 Writing.  A payload of bytes, padded by zeros to a positive multiple of 64, is
 stored as the samples of an 8-bit grey PNG of width 64.  Each scan partition
 writes ZIP archives (members are stored as they are) of a bounded size, under a
-temporary name that is replaced at the end; nothing is shuffled.
+temporary name that is replaced at the end; nothing is shuffled.  The table of the
+archives, with their members, is written last into the folder (``manifest``): what
+an earlier run left there is not read, and an archive that does not hold as many
+members as it says is an error.
 
 Reading.  The data source ``media_archive`` lists a folder's archives and plans
 byte-range partitions over them; a member belongs to the range that holds its
@@ -16,7 +19,8 @@ the task fails, so that no member is silently lost.
 
 Defined cases: a null text is empty, and an empty one becomes 64 zeros; equal
 texts are stored as equal bytes; repeated rows become members of their own; a
-null id stays null; an empty table gives an empty folder and no rows.  Other
+null id stays null; a very long text is one member, held in memory by one task; an
+empty table gives no archives and no rows.  Other
 columns are not read, whatever their names.
 """
 
@@ -32,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyarrow import fs
+from pyarrow import fs, parquet
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -90,7 +94,7 @@ def from_png(media: bytes) -> tuple[bytes, int]:
 
 
 def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = 64 << 20) -> DataFrame:
-    """Writes archives to ``folder``; one row for each: archive, members, bytes."""
+    """Writes archives and their manifest to ``folder``; the manifest has a row for each: archive, members, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = open_store(folder)
@@ -113,12 +117,14 @@ def write_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
     prepare(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    return narrow.mapInArrow(run, "archive string, members long, bytes long")
+    kinds = "archive string, members long, bytes long"
+    narrow.mapInArrow(run, kinds).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.schema(kinds).parquet(f"{folder}/manifest")
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, first: int, past: int):
-        self.archive, self.first, self.past = archive, first, past
+    def __init__(self, archive: str, first: int, past: int, members: int | None = None):
+        self.archive, self.first, self.past, self.members = archive, first, past, members
 
 
 class MediaReader(DataSourceReader):
@@ -131,15 +137,32 @@ class MediaReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         store, path = open_store(self.folder)
         files = store.get_file_info(fs.FileSelector(path, allow_not_found=True))
-        found = sorted((f.path, f.size) for f in files if f.base_name.endswith(".zip") and not f.base_name.startswith("_"))
+        told = self._manifest(store, path)
+        found = sorted((f.path, f.size, f.base_name) for f in files if f.base_name.endswith(".zip") and not f.base_name.startswith("_"))
+        if told is not None:
+            if gone := sorted(set(told) - {name for *_, name in found}):
+                raise OSError(f"{self.folder} has no {gone[0]}, which its manifest names")
+            found = [f for f in found if f[2] in told]
         # Without archives one empty range: Spark asks for a partition at least.
-        return [ByteRange(p, a, min(a + self.range_bytes, n)) for p, n in found for a in range(0, n, self.range_bytes)] or [ByteRange("", 0, 0)]
+        return [ByteRange(p, a, min(a + self.range_bytes, n), told and told[name]) for p, n, name in found for a in range(0, n, self.range_bytes)] or [ByteRange("", 0, 0)]
+
+    @staticmethod
+    def _manifest(store: fs.FileSystem, path: str) -> dict[str, int] | None:
+        """Members of each archive; None for a folder of archives without a manifest."""
+        at = f"{path}/manifest"
+        if store.get_file_info(at).type != fs.FileType.Directory:
+            return None
+        parts = [f.path for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".parquet")]
+        tables = [parquet.read_table(p, filesystem=store) for p in parts]
+        return {name: n for t in tables for name, n in zip(t["archive"].to_pylist(), t["members"].to_pylist())}
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
             return
         store, _ = open_store(self.folder)
         with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as archive:
+            if partition.members not in (None, len(archive.infolist())):
+                raise ValueError(f"{partition.archive} has {len(archive.infolist())} members, its manifest {partition.members}")
             own = [x for x in archive.infolist() if partition.first <= x.header_offset < partition.past]
             rows, held = [], 0
             for member in own:
@@ -238,8 +261,7 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as images and read back through the data source."""
     scratch = Scratch(spark, "media")
     folder = scratch.path("archives")
-    written = write_media(table(spark, sf_dir, "documents"), folder)
-    written.agg(F.sum("members")).collect()  # writes the archives; one row
+    write_media(table(spark, sf_dir, "documents"), folder)
     out = described(read_media(spark, folder))
     tail = F.substring("payload", -WIDTH, WIDTH)
     return out.select(

@@ -1,6 +1,8 @@
 import hashlib
+import math
 import zipfile
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -42,6 +44,32 @@ def test_empty_table(spark):
     assert media.read_media(spark, folder).count() == 0
 
 
+def test_media_and_features_by_other_means(spark, sf):
+    """The stored form as zlib and struct give it, read as another PNG reader would, and features by plain counting."""
+    docs = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    for r in media.op2_media(spark, sf).collect():
+        payload = media.padded((docs[r["doc_id"]] or "").encode())
+        lines = b"".join(b"\0" + payload[k : k + 64] for k in range(0, len(payload), 64))
+        chunk = lambda kind, data: len(data).to_bytes(4, "big") + kind + data + zlib.crc32(kind + data).to_bytes(4, "big")
+        head = (64).to_bytes(4, "big") + (len(payload) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", f"Bytes\0{r['n_bytes']}".encode("latin-1")) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest())
+        n, mean = len(payload), sum(payload) / len(payload)
+        deviation = math.sqrt(sum((b - mean) ** 2 for b in payload) / n)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(payload).values())
+        got = r["feature"].split(";")
+        assert all(abs(float(x) - y) < 1e-4 for x, y in zip(got, (mean, deviation, entropy)))
+        assert all(abs(int(x) - 255 * sum(b // 32 == k for b in payload) / n) <= 0.5 + 1e-9 for k, x in enumerate(got[3].split(",")))
+
+
+def test_archives_of_an_earlier_run_are_not_read(spark):
+    folder = Scratch(spark, "media-test").path("twice")
+    many = spark.createDataFrame([(k, f"t{k}") for k in range(40)], "doc_id long, text string").repartition(4)
+    for docs in (many, many.where("doc_id < 3").coalesce(1)):
+        media.write_media(docs, folder, archive_bytes=500)
+    assert sorted(r[0] for r in media.described(media.read_media(spark, folder)).collect()) == [0, 1, 2]
+
+
 def archive(tmp_path):
     with zipfile.ZipFile(tmp_path / "media-0.zip", "w") as z:
         for k in range(5):
