@@ -8,8 +8,10 @@ folder made and registered instead.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +57,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _ROOTS: list[str] = []
+_OWNER = os.getpid()
+
+
+@atexit.register
+def _sweep_at_exit() -> None:
+    """Frees the shared folder when the driver's process ends with its session still there."""
+    spark = SparkSession.getActiveSession() if _ROOTS and os.getpid() == _OWNER else None
+    if spark is not None:
+        with contextlib.suppress(Exception):
+            sweep(spark)
 
 
 def sweep(spark: SparkSession) -> None:
