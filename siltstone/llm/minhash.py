@@ -188,10 +188,11 @@ def components(docs: DataFrame, scratch: Scratch, size: int = 5, percent: int =
     rest = scratch.save(_mixed(placed, scratch), "rest")
     if not rest.isEmpty():
         sets = scratch.save(full_sets(of_nodes(rest.select("node"), "mixed-nodes"), size, signed=True), "signed-sets")
-        near = scratch.save(_near(rest, sets.select("node", "n", "signature"), percent).distinct(), "near")
-        ties = scratch.save(_blocks(rest.join(near, ["bucket", "node"], "left_semi"), sets, percent).distinct(), "ties")
+        near = scratch.save(_near(rest, sets.select("node", "n", "signature"), percent, scratch).distinct(), "near")
+        some = scratch.save(rest.join(near, ["bucket", "node"], "left_semi"), "some")
+        ties = scratch.save(_blocks(some, sets, percent, scratch).distinct(), "ties")
         merged = scratch.save(connected_components(ties, scratch).select(F.col("node").alias("component"), F.col("component").alias("whole")), "merged")
-        scratch.drop(sets, near)
+        scratch.drop(sets, near, some)
         mine = mine.join(merged, "component", "left").select("k1", "k2", F.coalesce("whole", "component").alias("component"))
     scratch.drop(placed, rest)
     of_class = scratch.save(mine, "of-class")
@@ -230,7 +231,7 @@ def _mixed(placed: DataFrame, scratch: Scratch) -> DataFrame:
     return placed.join(scratch.save(once, "mixed"), "bucket").select("bucket", "node", "component", (F.col("component") != F.col("main")).alias("few"))
 
 
-def _dealt(rest: DataFrame, carried: DataFrame, left: int, right: int) -> DataFrame:
+def _dealt(rest: DataFrame, carried: DataFrame, left: int, right: int, scratch: Scratch) -> DataFrame:
     """Rows of blocks (bucket, x, y), sorted: first those that are held (part 0), then those that pass (part 1).
 
     The few members of a bucket are dealt over parts of about ``left``, all its
@@ -238,7 +239,8 @@ def _dealt(rest: DataFrame, carried: DataFrame, left: int, right: int) -> DataFr
     """
     size = rest.groupBy("bucket").agg(F.count("*").alias("m"), F.count(F.when(F.col("few"), 1)).alias("f"))
     size = size.where("f > 0 and m > 1").select("bucket", F.ceil(F.col("f") / left).alias("lefts"), F.ceil(F.col("m") / right).alias("rights"))
-    whole = rest.join(size, "bucket")
+    # Both sides come from files: small sizes are broadcast and move no row, and else a large bucket is split at run time.
+    whole = rest.join(scratch.save(size, "block-sizes"), "bucket")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     held = whole.where("few").withColumn("y", F.explode(upto("rights"))).select("bucket", own("lefts").alias("x"), "y", F.lit(0).alias("part"), "node", "component", "few")
@@ -352,14 +354,14 @@ def _run_blocks(rows: DataFrame, kind: type, percent: int, schema: str) -> DataF
 _ROW = ("bucket", "x", "y", "part", "node", "component", "few", "n", "signature")
 
 
-def _near(rest: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+def _near(rest: DataFrame, signed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """bucket, node of the members that have a partner by signature."""
-    return _run_blocks(_dealt(rest, signed, SIGNED_LEFT, SIGNED_RIGHT).select(*_ROW), _Signed, percent, "bucket long, node long")
+    return _run_blocks(_dealt(rest, signed, SIGNED_LEFT, SIGNED_RIGHT, scratch).select(*_ROW), _Signed, percent, "bucket long, node long")
 
 
-def _blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _blocks(rest: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """a, b: components that a confirmed link ties."""
-    return _run_blocks(_dealt(rest, sets, LEFT, RIGHT).select(*_ROW, "shingles"), _Full, percent, "a long, b long")
+    return _run_blocks(_dealt(rest, sets, LEFT, RIGHT, scratch).select(*_ROW, "shingles"), _Full, percent, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -72,9 +72,9 @@ def boilerplate(n, seed=1):
 def test_boilerplate_ships_no_sets_but_those_of_links(spark, monkeypatch):
     shipped, blocks = [], minhash._blocks
 
-    def counting(rest, sets, percent):
-        shipped.append(minhash._dealt(rest, sets, minhash.LEFT, minhash.RIGHT).count())
-        return blocks(rest, sets, percent)
+    def counting(rest, sets, percent, scratch):
+        shipped.append(minhash._dealt(rest, sets, minhash.LEFT, minhash.RIGHT, scratch).count())
+        return blocks(rest, sets, percent, scratch)
 
     monkeypatch.setattr(minhash, "_blocks", counting)
     docs = spark.createDataFrame(boilerplate(600), "doc_id long, text string").repartition(4)
