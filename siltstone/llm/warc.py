@@ -106,7 +106,7 @@ def decide(meta: DataFrame, scratch: Scratch, min_bytes: int = 0) -> DataFrame:
 
 
 #: Most shards of one run, and how many sampled keys set a cut.
-MOST_SHARDS, SAMPLE = 100_000, 10
+MOST_SHARDS, SAMPLE = 100_000, 20
 #: What stands for a null id in the order of records.
 NO_ID = -(2**63)
 
