@@ -10,16 +10,17 @@ Every ``CUT`` steps the lineage is cut by a checkpoint in the shared folder.
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from siltstone.sources.session import shared_folder
 
 CUT = 4
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpointed where a folder for it is set, else cached in memory and on disk."""
-    spark: SparkSession = df.sparkSession
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return df.checkpoint() if told else df.persist()
+    """Checkpointed in the shared folder, so that a lost executor costs no earlier step."""
+    shared_folder(df.sparkSession, "graph")  # registers a folder for a local session without one
+    return df.checkpoint()
 
 
 def closure(edges: DataFrame, key: str, parent: str, child: str, max_depth: int | None = None) -> DataFrame:

@@ -113,18 +113,37 @@ def join_lateral(t):
     return t.sql(_LATERAL, "customer", "orders")
 
 
+def asof_join(left, right, key: str, at: str, value: str, bucket: str = "day"):
+    """``left`` with the ``value`` of the last row of ``right`` that has its key and is not later; ``right`` has one row for each key and time, and its rows without a value do not count.
+
+    Rows are sorted within a key's buckets of time, so that a key with very many
+    rows is dealt over as many tasks as it has buckets.  What a bucket begins with
+    comes from one row for each bucket, and no pairs are made.
+    """
+    bucketed = lambda df: df.withColumn("bucket_", F.date_trunc(bucket, at))
+    names = left.columns
+    mine = bucketed(left).select(*names, "bucket_", F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("side_"))
+    found = bucketed(right.where(F.col(value).isNotNull())).select(*(F.col(n) if n in (key, at) else F.lit(None).cast(left.schema[n].dataType).alias(n) for n in names), "bucket_", value, F.lit(0).alias("side_"))
+    within = Window.partitionBy(key, "bucket_").orderBy(at, "side_").rowsBetween(Window.unboundedPreceding, 0)
+    rows = found.union(mine).withColumn(value, F.last(value, ignorenulls=True).over(within)).where("side_ = 1")
+    # One row for each bucket of a key: its last value, and from these what came before each.
+    every = found.union(mine).groupBy(key, "bucket_").agg(F.max(F.when(F.col("side_") == 0, F.struct(at, value)))[value].alias("last_"))
+    before = Window.partitionBy(key).orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = every.select(F.col(key).alias("key_"), F.col("bucket_").alias("begin_"), F.last("last_", ignorenulls=True).over(before).alias("start_"))
+    out = rows.join(starts, (F.col(key) == F.col("key_")) & (F.col("bucket_") == F.col("begin_")), "left")
+    return out.select(*names, F.coalesce(value, "start_").alias(value))
+
+
 @query(
     "join_asof",
     "SELECT l.event_id, r.event_id AS click_id FROM (SELECT * FROM events WHERE event_type <> 'click') l ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY user_id, ts) r ON l.user_id = r.user_id AND l.ts >= r.ts",
 )
 def join_asof(t):
-    """Each event's last click before it: both sides in one sorted pass a user, no pairs."""
+    """Each event's last click before it."""
     e = t("events").select("event_id", "ts", "user_id", (F.col("event_type") == "click").alias("is_click"))
-    clicks = e.where("is_click").groupBy("user_id", "ts").agg(F.max("event_id").alias("click_id")).select("user_id", "ts", "click_id", F.lit(None).cast("long").alias("event_id"), F.lit(0).alias("side"))
-    others = e.where("not is_click").select("user_id", "ts", F.lit(None).cast("long").alias("click_id"), "event_id", F.lit(1).alias("side"))
-    w = Window.partitionBy("user_id").orderBy("ts", "side").rowsBetween(Window.unboundedPreceding, 0)
-    both = clicks.union(others).withColumn("click_id", F.last("click_id", ignorenulls=True).over(w))
-    return both.where("side = 1").select("event_id", "click_id")
+    clicks = e.where("is_click").groupBy("user_id", "ts").agg(F.max("event_id").alias("click_id"))
+    others = e.where("not is_click").select("event_id", "user_id", "ts")
+    return asof_join(others, clicks, "user_id", "ts", "click_id").select("event_id", "click_id")
 
 
 @query("join_on_in_subquery", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
