@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 
-from siltstone.lineage import graph
+from siltstone.lineage import combine, graph
 from siltstone.lineage.corpus import Corpus, chain_nodes, clauses, parse_statements
+from siltstone.lineage.naming import canonical_names
 from siltstone.operators.base import Family
 
 family = Family()
@@ -123,3 +124,85 @@ def lineage_generated_clauses(t):
     wanted = [i for i in range(len(RULES)) if i in (0, 1, 3, 9)]
     rows = [(k * len(RULES) + i, RULES[i][0].replace("#", str(k)).replace(f"z{k}.id = s.id", f"s.id = z{k}.id")) for k in range(EACH) for i in wanted]
     return clauses(t.spark.createDataFrame(rows, "stmt_id long, sql string")).select("stmt_id", "clause", "text")
+
+
+def _count(text: str) -> int:
+    return len(set(text.split()))
+
+
+_SUMMARY = ", ".join(
+    f"({i}, '{kind}', {len({x for e in edges.split() for x in e.split('<')})}, {len({r.rpartition('.')[2] for r in references.split()})}, {_count(edges)})" for i, (_, kind, edges, _, references, _) in enumerate(RULES)
+)
+
+
+@query("lineage_generated_summary", f"SELECT k * {len(RULES)} + i AS stmt_id, kind AS sql_type, CAST(tables AS BIGINT) AS total_tables, CAST(cols AS BIGINT) AS total_columns, CAST(edges AS BIGINT) AS table_edges FROM range({EACH}) r(k), (VALUES {_SUMMARY}) v(i, kind, tables, cols, edges)")
+def lineage_generated_summary(t):
+    return _corpus(t).summary().select("stmt_id", "sql_type", "total_tables", "total_columns", "table_edges")
+
+
+_TABLE_EDGES = _sql(2, "<", "target, source")
+
+
+@query(
+    "lineage_generated_table_closure",
+    f"WITH RECURSIVE e AS ({_TABLE_EDGES}), reach AS (SELECT stmt_id, target AS root, source AS node, CAST(1 AS INTEGER) AS depth FROM e UNION SELECT r.stmt_id, r.root, e.source, r.depth + 1 FROM reach r JOIN e ON e.stmt_id = r.stmt_id AND e.target = r.node) SELECT stmt_id, root, node, min(depth) AS depth FROM reach GROUP BY 1, 2, 3",
+)
+def lineage_generated_table_closure(t):
+    """Every table that a table or common table expression comes from, and how many steps away."""
+    return graph.closure(_corpus(t).table_edges(), "stmt_id", "target", "source")
+
+
+@query(
+    "lineage_generated_producers",
+    # Of the two rules that write w# the later statement counts.
+    f"SELECT prefix || k AS table_name, k * {len(RULES)} + i AS stmt_id FROM range({EACH}) r(k), (VALUES ('w', 2), ('z', 3), ('y', 6)) v(prefix, i)",
+)
+def lineage_generated_producers(t):
+    c = _corpus(t)
+    return combine.producers(c.table_edges(), c.statements())
+
+
+_READ = [(i, e.partition("<")[2]) for i, rule in enumerate(RULES) for e in rule[2].split() if e.partition("<")[2] not in ("c1", "c2")]
+
+
+@query("lineage_generated_consumers", " UNION ALL ".join(f"SELECT replace('{name}', '#', CAST(k AS VARCHAR)) AS table_name, k * {len(RULES)} + {i} AS stmt_id FROM range({EACH}) r(k)" for i, name in _READ))
+def lineage_generated_consumers(t):
+    c = _corpus(t)
+    return combine.consumers(c.table_edges(), c.statements(), c.entities())
+
+
+#: Texts and the dialect that their constructs speak for, begun as Trino.
+SPOKEN = [("SELECT TOP # a FROM t#", "tsql"), ("SELECT a FROM t# LIMIT #", "trino"), ("SELECT a FROM t#, u# WHERE t#.i = u#.i(+) CONNECT BY PRIOR a = b", "oracle"), ("SELECT j:x, a(+) FROM t#", "snowflake"), ("SELECT a::int FROM t#", "trino"), ("SELECT TOP # a FROM t# CROSS APPLY f(t#.a) x", "tsql")]
+
+
+@query("lineage_generated_dialects", f"SELECT k * {len(SPOKEN)} + i AS stmt_id, d AS dialect FROM range({EACH}) r(k), (VALUES {', '.join(f'({i}, {chr(39)}{d}{chr(39)})' for i, (_, d) in enumerate(SPOKEN))}) v(i, d)")
+def lineage_generated_dialects(t):
+    """The dialect that each text is taken to be in."""
+    rows = [(k * len(SPOKEN) + i, text.replace("#", str(k))) for k in range(EACH) for i, (text, _) in enumerate(SPOKEN)]
+    parsed = Corpus(parse_statements(t.spark.createDataFrame(rows, "stmt_id long, sql string").repartition(4))).statements()
+    return parsed.where(F.size("errors") == 0).select("stmt_id", "dialect")
+
+
+#: Texts that no parser takes, and the edges that a scan of their words finds.
+BROKEN = [("SELECT a FROM t# JOIN u# ON t#.i = u#.i WHERE ((", f"{R}<t# {R}<u#"), ("INSERT INTO w# SELECT FROM 'x' JOIN s.t#", "w#<s.t#"), ("WITH c AS (SELECT a FROM r#) SELECT FROM c LEFT JOIN v#", f"{R}<r# {R}<v#"), ("CREATE TABLE n# AS SELECT ?? FROM m# !! ", "n#<m#")]
+
+
+@query(
+    "lineage_generated_scans",
+    " UNION ALL ".join(f"SELECT k * {len(BROKEN)} + {i} AS stmt_id, replace('{e.partition('<')[0]}', '#', CAST(k AS VARCHAR)) AS target, replace('{e.partition('<')[2]}', '#', CAST(k AS VARCHAR)) AS source, CAST(1 AS BIGINT) AS errors FROM range({EACH}) r(k)" for i, (_, edges) in enumerate(BROKEN) for e in edges.split()),
+)
+def lineage_generated_scans(t):
+    rows = [(k * len(BROKEN) + i, text.replace("#", str(k))) for k in range(EACH) for i, (text, _) in enumerate(BROKEN)]
+    c = Corpus(parse_statements(t.spark.createDataFrame(rows, "stmt_id long, sql string").repartition(4)))
+    failed = c.statements().select("stmt_id", F.size("errors").cast("long").alias("errors"))
+    return c.table_edges().join(failed, "stmt_id")
+
+
+@query(
+    "lineage_generated_canonical_names",
+    f"SELECT k, replace(name, '#', CAST(k AS VARCHAR)) AS name, replace(canonical, '#', CAST(k AS VARCHAR)) AS canonical FROM range({EACH}) r(k), (VALUES ('t#', 'c.s.t#'), ('s.t#', 'c.s.t#'), ('\"c\".\"s\".\"t#\"', 'c.s.t#'), ('u#', 'u#'), ('a.u#', 'a.u#'), ('b.u#', 'b.u#'), ('v#', 'v#'), ('x.s.v#', 'x.s.v#'), ('y.s.v#', 'y.s.v#'), ('W#', 'd.w#'), ('d.w#', 'd.w#')) v(name, canonical)",
+)
+def lineage_generated_canonical_names(t):
+    """A name is as qualified as all spellings that end in it agree on."""
+    names = ["t#", "s.t#", '"c"."s"."t#"', "u#", "a.u#", "b.u#", "v#", "x.s.v#", "y.s.v#", "W#", "d.w#"]
+    return canonical_names(t.spark.createDataFrame([(k, n.replace("#", str(k))) for k in range(EACH) for n in names], "k long, name string"), "k")
