@@ -30,6 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     for s in (one, many):
         s.add_argument("--dialect", default="trino", help=", ".join(DIALECTS))
         s.add_argument("--format", default="console", choices=("console", "json", "compact"))
+        s.add_argument("--color", action="store_true", help="colours in console reports")
     one.add_argument("--output")
     args = p.parse_args(argv)
     setup()
@@ -47,7 +48,7 @@ def text(doc: dict, args, tables: bool = True, columns: bool = True) -> str:
     if args.format == "compact":
         return render.compact(doc)
     if args.format == "console":
-        return render.console(doc, tables, columns)
+        return render.console(doc, tables, columns, args.color)
     if tables and columns:
         return render.as_json(doc)
     return render.as_json({k: doc[k] for k in ("sql", "dialect", "table_lineage" if tables else "column_lineage", "errors", "warnings")})

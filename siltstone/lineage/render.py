@@ -34,22 +34,40 @@ def compact(lineage: dict) -> str:
     return "\n".join([*lines, f"Column Lineage: {len(lineage['column_lineage']['upstream'])} columns tracked"])
 
 
-def console(lineage: dict, tables: bool = True, columns: bool = True) -> str:
-    """A report: the statement, what is wrong, and trees of what each target comes from."""
-    out = [f"SQL lineage ({lineage['dialect']})", " ".join((lineage["sql"] or "").split())[:200]]
+#: Terminal codes of a coloured report.
+COLOURS = {"title": "1", "errors": "31", "warnings": "33", "target": "36", "source": "32"}
+
+
+def console(lineage: dict, tables: bool = True, columns: bool = True, color: bool = False) -> str:
+    """A report: the statement, what is wrong, trees of what each target comes from, and what is done on the way."""
+    paint = lambda kind, text: f"\x1b[{COLOURS[kind]}m{text}\x1b[0m" if color else text
+    out = [paint("title", f"SQL lineage ({lineage['dialect']})"), " ".join((lineage["sql"] or "").split())[:200]]
     for name in ("errors", "warnings"):
         if lineage[name]:
-            out += ["", name.capitalize(), *(f"  {x}" for x in lineage[name])]
+            out += ["", paint("title", name.capitalize()), *(paint(name, f"  {x}") for x in lineage[name])]
     for name, wanted in (("table_lineage", tables), ("column_lineage", columns)):
         if wanted and lineage[name]["upstream"]:
-            out += ["", name.replace("_", " ").capitalize()]
+            out += ["", paint("title", name.replace("_", " ").capitalize())]
             for target, sources in sorted(lineage[name]["upstream"].items()):
-                out += [f"  {target}", *(f"    <- {s}" for s in sorted(sources))]
+                out += [paint("target", f"  {target}"), *(paint("source", f"    <- {s}") for s in sorted(sources))]
+                for step in dict.fromkeys(x for t in lineage[name]["transformations"].get(target, []) for x in done(t)):
+                    out.append(f"       {step}")
     if tables and lineage["metadata"]:
-        out += ["", "Metadata", *(f"  {n}: {m['table_type']}, {m['description']}, {len(m.get('columns') or [])} columns" for n, m in sorted(lineage["metadata"].items()))]
+        out += ["", paint("title", "Metadata"), *(f"  {n}: {m['table_type']}, {m['description']}, {len(m.get('columns') or [])} columns" for n, m in sorted(lineage["metadata"].items()))]
     return "\n".join(out)
 
 
+def done(t: dict) -> list[str]:
+    """What a table transformation does, a line each; of a column's there is nothing but its expression."""
+    if "source_table" not in t:
+        return []
+    out = [f"{j['join_type']} {j['right_table']}" + "".join(f" {'ON' if k == 0 else 'AND'} {c['left_column']} {c['operator']} {c['right_column']}" for k, c in enumerate(j["conditions"])) for j in t["joins"]]
+    for key, word in (("filter_conditions", "WHERE"), ("having_conditions", "HAVING")):
+        out += [" ".join(x for x in (word, c["column"], c["operator"], c["value"]) if x) for c in t[key]]
+    out += [f"{word} {', '.join(t[key])}" for key, word in (("group_by_columns", "GROUP BY"), ("order_by_columns", "ORDER BY")) if t[key]]
+    return out
+
+
 def _quoted(text: str) -> str:
     return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
 

@@ -18,7 +18,7 @@ def describe(s: Statement, dialect: str = "trino") -> dict:
     if s.kind in ("CTAS", "TABLE", "VIEW"):
         out |= {"table_properties": s.properties, "column_definitions": s.columns}
     if s.kind == "INSERT":
-        out |= {"insert_type": "VALUES" if s.rows else "SELECT" if s.query else "DEFAULT", "insert_columns": s.column_names, "values": s.rows, "on_conflict": s.conflict, "source_tables": read_tables(s.query) if s.query else []}
+        out |= {"insert_type": "VALUES" if s.rows else "SELECT" if s.query else "DEFAULT", "insert_columns": s.column_names, "values": s.rows, "on_conflict": s.conflict, "conflict_action": (s.action or {}) | {"set": [f"{c} = {s.text(e)}" for c, e in s.assignments]} if s.action else None, "source_tables": read_tables(s.query) if s.query else []}
     if s.kind in ("UPDATE", "DELETE", "MERGE"):
         scope = scope_of(Query(0), None, [*s.sources, *(j.source for j in s.joins)])
         out |= {

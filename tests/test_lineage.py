@@ -422,3 +422,25 @@ def test_detailed_diagrams():
     assert "JOIN orders ON users.id = orders.user_id" in dot and "WHERE orders.state IN ('a', 'b')" in dot and "GROUP BY u.name" in dot and "LIMIT 5" in dot
     assert '"x":name -> "step 0"' in dot and dot.count("style=dashed") == 2
     assert "<B>a&lt;b</B>" in render.detailed_dot(A.get_lineage_chain('SELECT k FROM "a<b"', "downstream"))
+
+
+@pytest.mark.parametrize(
+    "sql, action, made",
+    [
+        ("INSERT INTO w (k, v) SELECT a, b FROM s ON CONFLICT (k) DO UPDATE SET v = excluded.v + w.v, n = 1", {"action": "UPDATE", "columns": ["k"], "set": ["v = excluded.v + w.v", "n = 1"]}, {"w.k": ["s.a"], "w.v": ["s.b", "w.v"]}),
+        ("INSERT INTO w (k, v) SELECT a, b FROM s ON CONFLICT DO NOTHING RETURNING k", {"action": "NOTHING", "columns": [], "set": []}, {"w.k": ["s.a"], "w.v": ["s.b"]}),
+        ("INSERT INTO w (k, v) SELECT a, b FROM s ON DUPLICATE KEY UPDATE u = VALUES(v)", {"action": "UPDATE", "columns": [], "set": ["u = VALUES(v)"]}, {"w.k": ["s.a"], "w.v": ["s.b"], "w.u": ["s.b"]}),
+    ],
+)
+def test_what_is_done_on_conflict(sql, action, made):
+    assert A.analyze_comprehensive(sql)["conflict_action"] == action and columns(sql) == made
+    odd = A.analyze_comprehensive("INSERT INTO w (k) VALUES (1) ON CONFLICT WITH SOMETHING ELSE")
+    assert odd["success"] and odd["conflict_action"] is None and odd["on_conflict"] == "WITH SOMETHING ELSE"
+
+
+def test_console_reports(capsys):
+    doc = A.analyze("SELECT u.a FROM u JOIN o ON u.i = o.i WHERE o.b > 1 GROUP BY u.a").to_dict()
+    plain = render.console(doc)
+    assert "JOIN o ON u.i = o.i" in plain and "WHERE o.b > 1" in plain and "GROUP BY u.a" in plain and "\x1b" not in plain
+    assert "\x1b[36m  QUERY_RESULT\x1b[0m" in render.console(doc, color=True)
+    assert cli.main(["analyze", "--sql", "SELECT a FROM t", "--color"]) == 0 and "\x1b[32m    <- t" in capsys.readouterr().out
