@@ -6,7 +6,7 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyspark.sql.functions as F
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 
 QUERY_RESULT, LITERAL = "QUERY_RESULT", "LITERAL"
 MODES = ("disabled", "conservative", "full")
