@@ -172,7 +172,6 @@ def write_warc(pages: DataFrame, folder: str, scratch: Scratch, id_col: str = "p
         store.create_dir(path, recursive=True)
         # Decisions sort just before the payloads that they are about.
         keeper, about = None, None
-        state: dict = {}
 
         def records() -> Iterator[tuple[int, bytes]]:
             nonlocal keeper, about
