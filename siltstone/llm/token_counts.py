@@ -20,6 +20,7 @@ Totals are the sums over the newest snapshot and the batches committed after it.
 snapshot's marker: a commit that lands meanwhile is not in the list, so it is
 read beside the snapshot.  Readers open the markers of the batches after the
 snapshot only; a name of each earlier one is kept, so that it stays committed.
+``vacuum`` frees the files that no reader needs any more.
 
 Defined cases: a null text counts as 0 tokens; null sources and languages are
 groups of their own; repeated rows are counted as often as they occur; groups
@@ -168,7 +169,10 @@ class Rollup:
         return False
 
     def _same(self, batch: str, sums: DataFrame) -> None:
-        held = self._sums([self._read("commits", f"{_name(batch)}.json")["data"]])
+        data = self._read("commits", f"{_name(batch)}.json")["data"]
+        if not self._fs.exists(self._path(data)):
+            raise BatchConflict(f"the sums of batch {batch} were freed, so they can't be compared")
+        held = self._sums([data])
         if sums.exceptAll(held).union(held.exceptAll(sums)).limit(1).count():
             raise BatchConflict(f"batch {batch} was committed with other sums")
 
@@ -195,12 +199,30 @@ class Rollup:
 
     def compact(self) -> None:
         """Writes the totals so far as a snapshot, so that later reads start from it."""
-        commits, number = self._marks("commits"), len(self._marks("snapshots"))
+        commits, snapshots = self._marks("commits"), self._marks("snapshots")
+        number = int(snapshots[-1].partition(".")[0]) + 1 if snapshots else 0
         data = f"data/snapshot-{uuid.uuid4().hex}"
         _summed(self._committed(commits)).write.parquet(f"{self.folder}/{data}")
         if not self._mark("snapshots", f"{number:09d}", {"data": data, "commits": commits}):
             self._fs.delete(self._path(data), True)  # another compaction came first
 
+    def vacuum(self, keep: int = 2) -> None:
+        """Frees all snapshots but the newest ``keep``, and the sums of batches that the oldest of these holds.
+
+        Markers of batches stay, so that no batch is counted again.  Totals that
+        were begun before may no longer find their files, and are to be taken anew.
+        """
+        snapshots = self._marks("snapshots")
+        if not snapshots:
+            return
+        kept, gone = snapshots[-max(1, keep) :], snapshots[: -max(1, keep)]
+        for mark in self._read("snapshots", kept[0])["commits"]:
+            self._fs.delete(self._path(self._read("commits", mark)["data"]), True)
+        for mark in gone:
+            data = self._read("snapshots", mark)["data"]
+            self._fs.delete(self._path("snapshots", mark), False)
+            self._fs.delete(self._path(data), True)
+
 
 def _name(batch: str) -> str:
     if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):

@@ -127,3 +127,22 @@ def test_two_compactions_at_once(spark, store, monkeypatch):
     store._mark = late
     store.compact()
     assert totals(store) == [("s", "en", "v", 2, 10)]
+
+
+def test_vacuum_frees_files_and_keeps_totals(spark, store):
+    a = spark.createDataFrame([("s", "en", "v", 5)], CHANGES)
+    files = lambda: len(list(store._fs.listStatus(store._path("data"))))
+    store.vacuum()
+    for k in range(5):
+        store.commit(f"b{k}", tc.inserted(a))
+        store.compact()
+    before = files()
+    store.commit("last", tc.inserted(a))
+    store.vacuum(keep=1)
+    assert files() == 2 < before and totals(store) == [("s", "en", "v", 6, 30)]
+    assert not store.commit("b0", tc.inserted(a))
+    with pytest.raises(tc.BatchConflict):
+        store.commit("b0", tc.inserted(a), compare=True)
+    store.compact()
+    store.vacuum()
+    assert totals(store) == [("s", "en", "v", 6, 30)]
