@@ -24,6 +24,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_url_filter": op9_url_filter,
     "op10_decontamination": op10_decontamination,
-    "license_known_texts": license_known_texts,
 }
+#: Queries beside the operators' own.
+MORE = {"license_known_texts": license_known_texts}
 ORACLES: dict[str, str] = {"op6_license_scan": OP6_SQL, "op9_url_filter": OP9_SQL, "license_known_texts": known_texts_sql()}
